@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import encoding, prose, repetition
+from sievewright.llm import encoding, leakage, prose, repetition
 from sievewright.session import table
 
 
@@ -18,6 +18,14 @@ def p1_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_quality(table(spark, sf_dir, "documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p3_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(p3_found(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
