@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import encoding, leakage, prose, repetition
+from sievewright.llm import encoding, leakage, nearcopies, prose, repetition
 from sievewright.session import table
 
 
@@ -26,6 +26,10 @@ def p3_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p3_found(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_pairs(table(spark, sf_dir, "documents"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
