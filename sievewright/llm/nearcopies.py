@@ -168,6 +168,11 @@ def candidates(docs: DataFrame, s: Settings) -> DataFrame:
     keyed = golay_keys(docs, s).select("_id", "check", F.explode("keys").alias("key"))
     left, right = keyed.select("key", F.col("_id").alias("a"), F.col("check").alias("ca")), keyed.select("key", F.col("_id").alias("b"), F.col("check").alias("cb"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (equal_cells(F.col("ca"), F.col("cb")) >= s.check_16)).select("a", "b").distinct()
+    return compared(docs, pairs, s)
+
+
+def compared(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Of the pairs (a, b) those of which enough of 64 sketch cells agree."""
     marks = sketches(docs, s)
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("_id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(4)]), side)

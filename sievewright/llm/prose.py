@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.units import ALNUM, CJK, MARK, SEPARATOR, Units, char_classes, split_units, unit_blocks
+from sievewright.functions.units import ALNUM, CJK, MARK, SEPARATOR, Units, char_classes, mix64, split_units, unit_blocks
 from sievewright.llm.arrow import column, map_batches, values
 
 # Common function words of the corpus languages.
@@ -121,6 +121,10 @@ def line_table(units: Units) -> dict[str, np.ndarray]:
         "words": last - first,
         "common": common[last] - common[first],
     }
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(units.hashes)))
+    again = np.unique((sums[last] - sums[first]) ^ mix64(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    out["first"] = np.zeros(len(start), bool)
+    out["first"][again] = True
     solid = np.flatnonzero(kinds != 0)
     at = np.searchsorted(solid, end) - 1
     tail = solid[np.maximum(at, 0)] if len(solid) else np.zeros(len(start), np.int64)
@@ -157,6 +161,7 @@ def line_reasons(lines: dict[str, np.ndarray], n_docs: int) -> np.ndarray:
     item, plain = alike & lines["item"], alike & ~lines["item"]
 
     def mean(mask: np.ndarray) -> np.ndarray:
+        mask = mask & lines["first"]
         n = np.bincount(doc[mask], minlength=n_docs)
         return np.bincount(doc[mask], weights=words[mask], minlength=n_docs) / np.maximum(n, 1)
 
@@ -165,8 +170,9 @@ def line_reasons(lines: dict[str, np.ndarray], n_docs: int) -> np.ndarray:
     rows = np.bincount(doc[separated], minlength=n_docs)
     rules[3] = rules[3] | (separated & ((rows >= 3) & (rows >= MIN_DELIMITED_LINES * filled))[doc])
     unended = alike & ~lines["ends"] & (words <= SHORT_LINE_WORDS)
-    n = np.bincount(doc[unended], minlength=n_docs)
-    mean_share = np.bincount(doc[unended], weights=share[unended], minlength=n_docs) / np.maximum(n, 1)
+    once = unended & lines["first"]  # a line that is said again counts once
+    n = np.bincount(doc[once], minlength=n_docs)
+    mean_share = np.bincount(doc[once], weights=share[once], minlength=n_docs) / np.maximum(n, 1)
     rules[4] = rules[4] | (unended & ((n >= 3) & (mean_share < MIN_COMMON_SHARE_UNENDED))[doc])
     rules.append((item & (mean(item)[doc] < MEAN_ITEM_WORDS)) | (plain & (mean(plain)[doc] < MEAN_PLAIN_WORDS)))
     run = cjk / np.maximum(lines["cjk_runs"], 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievewright.llm import encoding, leakage, nearcopies, prose, repetition
+from sievewright.llm import encoding, leakage, nearcopies, overlaps, prose, repetition
 from sievewright.session import table
 
 
@@ -30,6 +31,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps.overlaps(table(spark, sf_dir, "prepared_docs"))
+    return found.select(F.least("train", "held").alias("doc_id_a"), F.greatest("train", "held").alias("doc_id_b"))
+
+
+def p7_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlap_report(table(spark, sf_dir, "prepared_docs"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
