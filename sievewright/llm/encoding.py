@@ -214,19 +214,20 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     return _encoded(df, id_col, text_col, path or vocabulary_path(), "ids array<int>", lambda flat, offsets: {"ids": list_column(flat, offsets, pa.int32())})
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_tokens bigint) of every row, 0 for null and empty texts."""
-    return _encoded(df, id_col, text_col, path or vocabulary_path(), "n_tokens bigint", lambda flat, offsets: {"n_tokens": np.diff(offsets)})
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns of `keep`, n_tokens bigint) of every row, 0 for null and empty texts."""
+    return _encoded(df, id_col, text_col, path or vocabulary_path(), "n_tokens bigint", lambda flat, offsets: {"n_tokens": np.diff(offsets)}, keep)
 
 
-def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, result: str, shape: Callable) -> DataFrame:
-    kind = df.schema[id_col].dataType.simpleString()
+def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, result: str, shape: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
+    carried = [id_col, *keep]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
 
     def kernel(batch: pa.RecordBatch):
-        texts, ids = column(batch, text_col), values(batch, id_col)
+        texts = column(batch, text_col)
         encoder = load_encoder(path)
         for low, high in _batches(texts):
             flat, offsets = encoder.encode_batch(texts[low:high])
-            yield {id_col: ids.slice(low, high - low), **shape(flat, offsets)}
+            yield {**{c: values(batch, c).slice(low, high - low) for c in carried}, **shape(flat, offsets)}
 
-    return map_batches(df.select(id_col, text_col), kernel, f"`{id_col}` {kind}, {result}")
+    return map_batches(df.select(*carried, text_col), kernel, f"{kinds}, {result}")

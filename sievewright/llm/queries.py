@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import encoding, leakage, nearcopies, overlaps, prose, repetition
+from sievewright.llm import encoding, leakage, mixing, nearcopies, overlaps, packing, prose, repetition, sampling
 from sievewright.session import table
 
 
@@ -19,6 +19,14 @@ def p1_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_quality(table(spark, sf_dir, "documents"))
 
 
+def p2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_spans(table(spark, sf_dir, "document_spans"))
+
+
+def p2_window_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.window_fill(p2_packing(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -31,6 +39,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.block_sample(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlaps.overlaps(table(spark, sf_dir, "prepared_docs"))
     return found.select(F.least("train", "held").alias("doc_id_a"), F.greatest("train", "held").alias("doc_id_b"))
@@ -44,6 +56,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents"))
 
@@ -61,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_sample": sampling.sample_sql()}
