@@ -1,0 +1,94 @@
+"""Exact and near duplicates of documents: minimum hashes, banded candidates, verified pairs, clusters."""
+
+from __future__ import annotations
+
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievewright.functions import text as tx
+from sievewright.operators.components import connected_components
+from sievewright.operators.ordered import keep_first
+from sievewright.session import cut
+
+
+def _hash8(payload: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little")
+
+
+@lru_cache(maxsize=8)
+def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and offsets of the n hash functions, from seeds 0 .. n - 1."""
+    seeds = [i.to_bytes(4, "little") for i in range(n)]
+    return np.array([_hash8(s + b"a") | 1 for s in seeds], np.uint64), np.array([_hash8(s + b"b") for s in seeds], np.uint64)
+
+
+def signature(shingles: list[str], n: int) -> np.ndarray:
+    """Least (h * a + b) mod 2^64 for each hash function; zeros without shingles."""
+    a, b = coefficients(n)
+    if not len(shingles):
+        return np.zeros(n, np.uint64)
+    h = np.array([_hash8(s.encode("utf-8")) for s in shingles], np.uint64)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for part in np.array_split(h, max(1, len(h) // 4096)):
+        np.minimum(low, (part[:, None] * a + b).min(axis=0), out=low)
+    return low
+
+
+def minhash(n: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sign(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: signature(s if s is not None else [], n).view(np.int64))
+
+    return sign
+
+
+def exact_dedup(df: DataFrame, text_col: str, units_col: str, order: list[str]) -> DataFrame:
+    """The first row in `order` of each canonical text. Null texts are one text; order columns must be unique."""
+    canonical = F.coalesce(tx.canonical_units(F.col(units_col), F.col(text_col)), F.lit(""))
+    return keep_first(df, [F.sha2(canonical, 256)], order)
+
+
+def candidate_pairs(signed: DataFrame, num_hashes: int, num_bands: int) -> DataFrame:
+    """(a, b), a < b: rows (ord, sig) whose signatures agree in a whole band. Rows of one signature are a star around
+    the least of them, so a group of copies is not expanded; other rows of their buckets meet that one row."""
+    rows = num_hashes // num_bands
+    heads = signed.groupBy("sig").agg(F.min("ord").alias("head"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("key")))
+    spread = heads.select("head", F.explode(bands).alias("x")).select("head", "x.*")
+    pairs = spread.alias("l").join(spread.alias("r"), ["band", "key"]).filter(F.col("l.head") < F.col("r.head")).select(F.col("l.head").alias("a"), F.col("r.head").alias("b"))
+    copies = signed.join(heads, "sig").filter(F.col("ord") != F.col("head")).select(F.col("head").alias("a"), F.col("ord").alias("b"))
+    return pairs.unionByName(copies).distinct()
+
+
+def verified_pairs(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose shingle sets (ord, shingles), both not empty, are similar enough."""
+    full = shingled.filter(F.size("shingles") > 0)
+    joined = pairs.join(full.select(F.col("ord").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("ord").alias("b"), F.col("shingles").alias("sb")), "b")
+    return joined.select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def near_duplicates(df: DataFrame, units_col: str, ord_col: str, threshold: float, ngram: int, num_hashes: int, num_bands: int) -> DataFrame:
+    """(ord, root, links): rows of clusters of verified pairs with the least row of their cluster and their links.
+
+    Rows of equal signatures are linked to the first of them if they pass the comparison with it. Texts without
+    units are never linked. ord must be unique.
+    """
+    if num_hashes % num_bands:
+        raise ValueError("num_hashes must be a multiple of num_bands")
+    shingled = cut(df.select(F.col(ord_col).alias("ord"), tx.word_ngrams(F.col(units_col), ngram).alias("shingles")))
+    signed = shingled.filter(F.size("shingles") > 0).select("ord", minhash(num_hashes)("shingles").alias("sig"))
+    pairs = cut(verified_pairs(candidate_pairs(signed, num_hashes, num_bands), shingled, threshold).select("a", "b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    return connected_components(pairs).join(ends, "node").select(F.col("node").alias(ord_col), "root", "links")
+
+
+def near_dedup(df: DataFrame, units_col: str, ord_col: str, threshold: float = 0.9, ngram: int = 5, num_hashes: int = 64, num_bands: int = 8) -> DataFrame:
+    """Rows that are alone or the first of their cluster."""
+    found = near_duplicates(df, units_col, ord_col, threshold, ngram, num_hashes, num_bands)
+    return df.join(found.filter(F.col(ord_col) != F.col("root")).select(ord_col), ord_col, "left_anti")
