@@ -48,9 +48,9 @@ def _trigrams(w: Column) -> Column:
     return F.size(F.array_distinct(grams)) / F.greatest(n, F.lit(1)).cast("double")
 
 
-def prose_features(text: Column) -> dict[str, Column]:
+def prose_features(text: Column, digits: int | None = 8) -> dict[str, Column]:
     """Columns word_count, utf8_bytes, length_score, alphabetic_score, sentence_density, unique_word_ratio,
-    trigram_uniqueness and score of a text that is not null; an empty text has the least values."""
+    trigram_uniqueness and score of a text that is not null, half-even to `digits`; an empty text has the least values."""
     found = F.regexp_extract_all(text, F.lit(PROSE_WORD), 0)
     words = F.transform(found, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
     n = F.size(words)
@@ -63,5 +63,6 @@ def prose_features(text: Column) -> dict[str, Column]:
     unique, trigram = _mean(F.transform(windows, _unique)), _mean(F.transform(windows, _trigrams))
     parts = {"length": length, "alphabetic": alpha, "sentence": sentence, "unique": unique, "trigram": trigram}
     score = sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
+    cut = lambda c: c if digits is None else F.bround(c, digits)
     names = {"length": "length_score", "alphabetic": "alphabetic_score", "sentence": "sentence_density", "unique": "unique_word_ratio", "trigram": "trigram_uniqueness"}
-    return {"word_count": n.cast("bigint"), "utf8_bytes": F.octet_length(text).cast("bigint"), **{names[k]: F.bround(v, 8) for k, v in parts.items()}, "score": F.bround(score, 8)}
+    return {"word_count": n.cast("bigint"), "utf8_bytes": F.octet_length(text).cast("bigint"), **{names[k]: cut(v) for k, v in parts.items()}, "score": cut(score)}

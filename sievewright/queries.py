@@ -120,17 +120,17 @@ s AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 256 THEN [1] ELSE [1, (len(w) -
 p AS (SELECT doc_id, n, strlen(t) AS b, alpha / greatest(vis, 1) AS ar, n / greatest(marks, 1) AS wps,
   list_avg(list_transform(starts, lambda a: len(list_distinct(w[a:a+255])) / greatest(len(w[a:a+255]), 1)::DOUBLE)) AS u,
   list_avg(list_transform(starts, lambda a: len(list_distinct(list_transform(range(a, least(a + 256, n + 1) - 2), lambda i: array_to_string(w[i:i+2], ' ')))) / greatest(least(256, n) - 2, 1)::DOUBLE)) AS g FROM s)
-SELECT doc_id, n AS word_count, b AS utf8_bytes, round(least(1.0, n / 256.0), 6) AS length_score,
-  round(least(1.0, greatest(0.0, (ar - 0.55) / 0.40)), 6) AS alphabetic_score, round(1 / (1 + abs(ln(greatest(wps, 1.0) / 25.0))), 6) AS sentence_density,
-  round(u, 6) AS unique_word_ratio, round(g, 6) AS trigram_uniqueness,
-  round(0.15 * least(1.0, n / 256.0) + 0.15 * least(1.0, greatest(0.0, (ar - 0.55) / 0.40)) + 0.25 / (1 + abs(ln(greatest(wps, 1.0) / 25.0))) + 0.30 * u + 0.15 * g, 6) AS score
+SELECT doc_id, n AS word_count, b AS utf8_bytes, round(least(1.0, n / 256.0), 8) AS length_score,
+  round(least(1.0, greatest(0.0, (ar - 0.55) / 0.40)), 8) AS alphabetic_score, round(1 / (1 + abs(ln(greatest(wps, 1.0) / 25.0))), 8) AS sentence_density,
+  round(u, 8) AS unique_word_ratio, round(g, 8) AS trigram_uniqueness,
+  round(0.15 * least(1.0, n / 256.0) + 0.15 * least(1.0, greatest(0.0, (ar - 0.55) / 0.40)) + 0.25 / (1 + abs(ln(greatest(wps, 1.0) / 25.0))) + 0.30 * u + 0.15 * g, 8) AS score
 FROM p"""
 
 
 @query(_PROSE_SQL)
 def prose_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in prose_features(F.coalesce("text", F.lit(""))).items()])
-    return found.select("doc_id", "word_count", "utf8_bytes", *[F.round(c, 6).alias(c) for c in (*reports.FEATURES, "score")])
+    found = documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in prose_features(F.coalesce("text", F.lit("")), None).items()])
+    return found.select("doc_id", "word_count", "utf8_bytes", *[F.round(c, 8).alias(c) for c in (*reports.FEATURES, "score")])
 
 
 @query(
@@ -279,10 +279,10 @@ def quality_tiers_length_balanced(spark: SparkSession, sf_dir: str) -> DataFrame
     return balanced(spark, sf_dir).filter("w > 0").select("span_id", "length_stratum", "tier")
 
 
-@query(_TIERS + " SELECT cache_name, tier, count(*) AS documents, sum(w)::BIGINT AS eligible_windows, round(avg(score), 8) AS mean_score, round(median(score), 6) AS median_score, round(avg(n_tokens), 6) AS mean_tokens, round(sum(w) / sum(sum(w)) OVER (PARTITION BY cache_name), 8) AS window_fraction FROM tiered WHERE tier >= 0 GROUP BY cache_name, tier")
+@query(_TIERS + " SELECT cache_name, tier, count(*) AS documents, sum(w)::BIGINT AS eligible_windows, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score, round(avg(n_tokens), 6) AS mean_tokens, round(sum(w) / sum(sum(w)) OVER (PARTITION BY cache_name), 8) AS window_fraction FROM tiered WHERE tier >= 0 GROUP BY cache_name, tier")
 def tier_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.tier_statistics(tiered(spark, sf_dir), "tier", "w", "score", {"tokens": F.col("n_tokens")}, ("cache_name",))
-    return found.select("cache_name", "tier", "documents", "eligible_windows", F.round("mean_score", 8).alias("mean_score"), F.round("median_score", 6).alias("median_score"), F.round("mean_tokens", 6).alias("mean_tokens"), F.round("window_fraction", 8).alias("window_fraction"))
+    return found.select("cache_name", "tier", "documents", "eligible_windows", F.round("mean_score", 6).alias("mean_score"), F.round("median_score", 6).alias("median_score"), F.round("mean_tokens", 6).alias("mean_tokens"), F.round("window_fraction", 8).alias("window_fraction"))
 
 
 _SHARES = ", ".join([f"round(avg((tier = {k})::INT), 8) AS tier{k}_documents" for k in range(3)] + [f"round(sum(CASE WHEN tier = {k} THEN w ELSE 0 END) / sum(w), 8) AS tier{k}_windows" for k in range(3)])
@@ -294,9 +294,9 @@ def tier_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("length_stratum", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), *[F.round(f"tier{k}_{x}", 8).alias(f"tier{k}_{x}") for x in ("documents", "windows") for k in range(3)])
 
 
-@query("WITH r AS (SELECT row_number() OVER (ORDER BY CASE WHEN isnan(quality_score) THEN -1 ELSE coalesce(quality_score, -1) END, doc_id) AS a, row_number() OVER (ORDER BY n_chars, doc_id) AS b FROM documents) SELECT round(corr(a, b), 8) AS rank_correlation FROM r")
+@query("WITH r AS (SELECT row_number() OVER (ORDER BY CASE WHEN isnan(quality_score) THEN -1 ELSE coalesce(quality_score, -1) END, doc_id) AS a, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) AS b FROM documents) SELECT round(corr(a, b), 8) AS rank_correlation FROM r")
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.rank_correlation(documents(spark, sf_dir).select("doc_id", "quality_score", "n_chars"), F.coalesce(F.nanvl("quality_score", F.lit(-1.0)), F.lit(-1.0)), F.col("n_chars"), "doc_id")
+    found = reports.rank_correlation(documents(spark, sf_dir).select("doc_id", "quality_score", "n_chars"), F.coalesce(F.nanvl("quality_score", F.lit(-1.0)), F.lit(-1.0)), F.coalesce("n_chars", F.lit(0)), "doc_id")
     return found.select(F.round("rank_correlation", 8).alias("rank_correlation"))
 
 

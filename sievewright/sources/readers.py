@@ -46,11 +46,11 @@ def paragraphs(lines: DataFrame, by: list[str]) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(ord, text, source): blank-line separated documents of the text files under `path`, in file and line order.
 
-    Each file is split on its own; files may be as large as one executor handles (MAX_FILE_BYTES), larger corpora
-    should be many files.
+    Each file is split on its own; a file of more than MAX_FILE_BYTES is an error, larger corpora should be many files.
     """
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n")
+    files = spark.read.format("binaryFile").load(path)
+    content = F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).otherwise(F.raise_error(F.lit("a text file is too large; split it")).cast("binary"))
+    text = F.regexp_replace(F.decode(content, "UTF-8"), "\r\n?", "\n")
     parts = files.select(F.substring_index("path", "/", -1).alias("source"), "path", F.posexplode(F.split(text, f"\n(?:[{SPACE}&&[^\n]]*\n)+")).alias("_n", "text"))
     parts = parts.withColumn("text", F.regexp_replace("text", f"^[{SPACE}]+|[{SPACE}]+$", "")).filter(F.col("text") != "")
     return prefix_sum(parts, ["path", "_n"], F.lit(1).cast("bigint"), "ord").select("ord", "text", "source")
