@@ -37,7 +37,7 @@ class Settings:
     k: int = 3
     threshold: float = 0.6
     min_words: int = 20
-    tables: int = 14
+    tables: int = 16
     anchor_runs: int = 4
     anchors: int = 2
     bins: int = 64
@@ -57,7 +57,7 @@ def _choices(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _nibbles(cells: np.ndarray) -> np.ndarray:
     """(n, 16 m) sketch cells as (n, m) words of 16 cells of 4 bits."""
     parts = (cells >> np.uint64(20)) & np.uint64(15)
-    parts = parts.reshape(len(cells), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    parts = parts.reshape(len(cells), cells.shape[1] // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
     return np.bitwise_or.reduce(parts, axis=2)
 
 
@@ -217,3 +217,19 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     within = x.join(y, "rep").filter("a < b").select("a", "b")
     both = pairs.select("a", "b").unionByName(within)
     return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).distinct()
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """(id, group, copies, links): one row for every row of a group: the least id of the group, how many rows have the
+    same text, and how many other texts this text is alike to. Copies are members of their class, not pairs."""
+    from sievewright.operators.components import connected_components
+
+    pairs, members = class_pairs(df, id_col, text_col, settings)
+    pairs = cut(pairs.select("a", "b"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    loops = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    roots = connected_components(pairs.unionByName(loops)).select(F.col("node").alias("rep"), "root")
+    grouped = roots.join(links, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    copies = members.select("rep", "_id", F.col("n").alias("copies"))
+    joined = grouped.join(copies, "rep", "left")
+    return joined.select(F.coalesce("_id", "rep").alias(id_col), F.col("root").alias("group"), F.coalesce("copies", F.lit(1)).alias("copies"), "links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import encoding, leakage, mixing, nearcopies, overlaps, packing, prose, repetition, sampling
+from sievewright.llm import encoding, leakage, mixing, nearcopies, overlaps, packing, pii, prose, repetition, sampling
 from sievewright.session import table
 
 
@@ -35,10 +35,22 @@ def p3_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p3_found(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_kinds(table(spark, sf_dir, "documents"))
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_information(table(spark, sf_dir, "documents"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(table(spark, sf_dir, "documents"))
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.block_sample(table(spark, sf_dir, "documents").select("doc_id"))
 
