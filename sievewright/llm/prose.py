@@ -32,7 +32,11 @@ MAX_COMMON_SHARE_ROW = 0.20
 MAX_SYMBOL_SHARE = 0.15
 MIN_COMMON_SHARE = 0.06
 LONG_LINE_WORDS = 25
-MIN_COMMON_SHARE_LONG = 0.15
+MIN_COMMON_SHARE_LONG = 0.20
+MIN_COMMON_SHARE_LOOP = 0.10
+MAX_DISTINCT_LOOP = 0.35
+LONG_LINE_CHARS = 60
+MAX_SYMBOL_SHARE_LONG = 0.08
 MIN_LINE_WORDS = 3
 MEAN_PLAIN_WORDS = 5.5
 MEAN_ITEM_WORDS = 8.5
@@ -133,6 +137,12 @@ def line_table(units: Units) -> dict[str, np.ndarray]:
         out["ends"] = (out["chars"] > 0) & (endings[tail] | (quotes[tail] & endings[np.maximum(tail - 1, 0)]))
     else:
         out["ends"] = np.zeros(len(start), bool)
+    # of long lines with few common words: those that say a phrase again and again
+    out["loop"] = np.zeros(len(start), bool)
+    share = out["common"] / np.maximum(out["words"], 1)
+    for i in np.flatnonzero((out["words"] >= LONG_LINE_WORDS) & (share >= MIN_COMMON_SHARE_LOOP) & (share < MIN_COMMON_SHARE_LONG)).tolist():
+        own = units.hashes[first[i] : last[i]]
+        out["loop"][i] = len(np.unique(own)) <= MAX_DISTINCT_LOOP * len(own)
     short = np.flatnonzero((out["words"] > 0) & (out["words"] <= SHORT_LINE_WORDS))
     out["item"] = np.zeros(len(start), bool)
     text, find = units.text, _ITEM.search
@@ -151,10 +161,10 @@ def line_reasons(lines: dict[str, np.ndarray], n_docs: int) -> np.ndarray:
     rules = [
         latin & (lines["letters"] / chars < MIN_ALPHA_SHARE),
         lines["digits"] / chars > np.where(lines["cjk"] >= MIN_CJK, MAX_DIGIT_SHARE_CJK, MAX_DIGIT_SHARE),
-        lines["symbols"] / chars > MAX_SYMBOL_SHARE,
+        lines["symbols"] / chars > np.where(lines["chars"] >= LONG_LINE_CHARS, MAX_SYMBOL_SHARE_LONG, MAX_SYMBOL_SHARE),
         ((lines["delimiters"] >= 2) & (lines["delimiters"] * 12 >= words + cjk))
         | (latin & (lines["commas"] >= 2) & ~lines["ends"] & (words <= MAX_WORDS_BY_COMMA * (lines["commas"] + 1)) & (share <= MAX_COMMON_SHARE_ROW)),
-        latin & (((words >= 8) & (share < np.where(wordy, MIN_COMMON_SHARE_LONG, MIN_COMMON_SHARE))) | ((words >= 5) & (lines["common"] == 0))),
+        latin & (((words >= 8) & (share < np.where(wordy, np.where(lines["loop"], MIN_COMMON_SHARE_LOOP, MIN_COMMON_SHARE_LONG), MIN_COMMON_SHARE))) | ((words >= 5) & (lines["common"] == 0))),
         latin & (words < MIN_LINE_WORDS),
     ]
     alike = latin & ~np.logical_or.reduce(rules) & (words > 0)
