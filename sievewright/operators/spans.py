@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.operators.ordered import global_rank, prefix_sum
+from sievewright.session import cut
 
 TIERS = ("low", "medium", "high")
-SLOTS = 1024
+MIN_SLOTS, SPANS_PER_SLOT = 1024, 32
 
 
 def valid_starts(n_tokens: Column, seq_len: int) -> Column:
@@ -73,15 +74,16 @@ def sample_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, o
     """(draw, tier, id, window_start): windows drawn by tier, then span by its valid starts, then offset.
 
     probabilities None draws spans by their mass over all tiers. Cumulative masses are met by an equi-join on
-    slots of the unit interval and a range test, so no draw scans all spans. Tiers without spans are left out of
+    slots of the unit interval, about one for every 32 spans, and a range test, so a draw meets few spans. Tiers without spans are left out of
     the draw; a window never crosses a document.
     """
     eligible = df.withColumn("_w", valid_starts(F.col(tokens_col), seq_len)).filter("_w > 0").withColumn("_t", F.col(tier_col) if probabilities else F.lit(0))
-    summed = prefix_sum(eligible, [ord_col], "_w", "_before", ("_t",))
+    summed = cut(prefix_sum(eligible, [ord_col], "_w", "_before", ("_t",)))
+    slots_n = 1 << max(MIN_SLOTS.bit_length() - 1, (summed.count() // SPANS_PER_SLOT).bit_length())
     totals = summed.groupBy("_t").agg(F.sum("_w").alias("_total"))
     low, high = F.col("_before") / F.col("_total"), (F.col("_before") + F.col("_w")) / F.col("_total")
     spans = summed.join(F.broadcast(totals), "_t").withColumn("_low", low).withColumn("_high", high)
-    slots = F.sequence(F.floor(F.col("_low") * SLOTS).cast("int"), F.least(F.floor(F.col("_high") * SLOTS), F.lit(SLOTS - 1)).cast("int"))
+    slots = F.sequence(F.floor(F.col("_low") * slots_n).cast("int"), F.least(F.floor(F.col("_high") * slots_n), F.lit(slots_n - 1)).cast("int"))
     spans = spans.withColumn("_slot", F.explode(slots)).select("_t", "_slot", "_low", "_high", "_w", id_col)
     drawn = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
     tier = F.lit(0)
@@ -94,7 +96,7 @@ def sample_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, o
         for i in range(len(edges) - 2, -1, -1):
             steps = F.when(F.col("_u0") < edges[i], i).otherwise(steps)
         tier = steps
-    drawn = drawn.withColumn("_u0", uniform(seed, F.lit("tier"), F.col("draw"))).withColumn("_t", tier).withColumn("_u", uniform(seed, F.lit("span"), F.col("draw"))).withColumn("_slot", F.floor(F.col("_u") * SLOTS).cast("int"))
+    drawn = drawn.withColumn("_u0", uniform(seed, F.lit("tier"), F.col("draw"))).withColumn("_t", tier).withColumn("_u", uniform(seed, F.lit("span"), F.col("draw"))).withColumn("_slot", F.floor(F.col("_u") * slots_n).cast("int"))
     met = drawn.join(spans, ["_t", "_slot"]).filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
     start = F.floor(uniform(seed, F.lit("start"), F.col("draw")) * F.col("_w")).cast("bigint")
     return met.select("draw", F.col("_t").alias("tier"), id_col, start.alias("window_start"))

@@ -267,3 +267,15 @@ def test_compare_runs(spark):
     assert reports.compare_runs(a, a, ["data"]).first().selected == "first"
     with pytest.raises(ValueError):
         reports.compare_runs(a, b.withColumn("data", F.lit("e")), ["data"])
+
+
+def test_long_pieces_merge_alike():
+    rnd = random.Random(8)
+    counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))): 1 for _ in range(60)}
+    merges = bpe.learn_merges(counts, 258 + 30)
+    rank = {p: i for i, p in enumerate(merges)}
+    for n in (2, 30, 47):
+        text = "".join(rnd.choice("abc") for _ in range(n))
+        assert bpe.merge_long(list(text.encode()), rank) == bpe.PieceEncoder(merges).piece(text)
+    long = "".join(rnd.choice("abc") for _ in range(20_000))
+    assert bpe.decode(bpe.PieceEncoder(merges).piece(long), merges) == long
