@@ -24,7 +24,9 @@ def build_session(name: str = "sievewright", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    offer_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -48,5 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def offer_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder the job was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    offer_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
