@@ -19,12 +19,12 @@ def alpha_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.greatest(visible, F.lit(1))
 
 
-def drop_reason(text: Column, units: Column, min_words: int, min_alpha: float) -> Column:
+def drop_reason(text: Column, profile: Column, min_words: int, min_alpha: float) -> Column:
     """too_few_words, low_alpha_ratio, repetitive_text in this order, or null for a pass."""
     return (
-        F.when(F.size(units) < min_words, "too_few_words")
+        F.when(profile["n_units"] < min_words, "too_few_words")
         .when(alpha_ratio(text) < min_alpha, "low_alpha_ratio")
-        .when((F.size(units) > 4) & (F.size(F.array_distinct(units)) == 1), "repetitive_text")
+        .when((profile["n_units"] > 4) & (profile["n_distinct"] == 1), "repetitive_text")
     )
 
 

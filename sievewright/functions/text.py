@@ -7,12 +7,15 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sievewright.functions.units import CJK_RANGES, normalized_words
+from sievewright.functions.units import CJK_RANGES, distinct_by_document, normalized_words, sequence_hashes, shingle_sets, unit_blocks
 
 # What Python's re counts as white space, in the syntax of Java and of RE2.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -104,6 +107,35 @@ def _digest(size: int):
 digest6, digest8, digest12 = _digest(6), _digest(8), _digest(12)
 
 
+PROFILE = T.StructType([T.StructField("n_units", T.IntegerType()), T.StructField("n_distinct", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+
+def unit_profile(n: int):
+    """Arrow UDF from text to its number of units and of distinct ones, two hashes of their sequence, and the hashes
+    of its distinct n-unit shingles; null is as empty text. No strings of units leave the worker."""
+
+    def profile(texts: pa.Array) -> pa.Array:
+        parts = []
+        for low, high, units in unit_blocks(texts.to_pylist()):
+            distinct = np.diff(distinct_by_document(units.hashes, units.doc, high - low)[1])
+            h1, h2 = sequence_hashes(units)
+            flat, offsets = shingle_sets(units, n)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+            columns = [pa.array(units.counts, pa.int32()), pa.array(distinct, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists]
+            parts.append(pa.StructArray.from_arrays(columns, names=[f.name for f in PROFILE]))
+        if not parts:
+            return pa.array([], to_arrow_type(PROFILE))
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(profile, PROFILE)
+
+
+def canonical_key(profile: Column, text: Column) -> Column:
+    """What exact duplicates share: the sequence of units, or where there are none the folded text."""
+    units = F.concat_ws(":", profile["h1"].cast("string"), profile["h2"].cast("string"))
+    return F.when(profile["n_units"] > 0, units).otherwise(F.concat(F.lit("t"), F.sha2(F.lower(F.coalesce(text, F.lit(""))), 256)))
+
+
 def canonical_units(units: Column, text: Column) -> Column:
     """Text that exact duplicates share: the units, or where there are none the folded text."""
     return F.when(F.size(units) > 0, F.array_join(units, " ")).otherwise(F.lower(text))

@@ -151,6 +151,40 @@ def run_hashes(units: Units, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(total[at] + np.uint64(k)), at
 
 
+def sequence_hashes(units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's sequence of units, both 0 without units."""
+    rank = np.arange(len(units.hashes)) - units.offsets[units.doc]
+    salted = mix64(units.hashes + mix64(rank.astype(np.uint64) + np.uint64(1)))
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (salted, mix64(salted + np.uint64(77)))]
+    first, last = units.offsets[:-1], units.offsets[1:]
+    return sums[0][last] - sums[0][first], sums[1][last] - sums[1][first]
+
+
+def distinct_by_document(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each document one after another, and where each document's begin."""
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=n_docs))))
+
+
+def shingle_sets(units: Units, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct n-unit shingles of each document; fewer units give one shingle, none no shingle."""
+    hashes, at = run_hashes(units, n)
+    doc = units.doc[at]
+    counts = units.counts
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        inside = np.flatnonzero((counts[units.doc] < n))
+        rank = inside - units.offsets[units.doc[inside]]
+        parts = units.hashes[inside] * _MULTIPLIERS[rank % 64]
+        starts = np.flatnonzero(rank == 0)
+        whole = mix64(np.add.reduceat(parts, starts) + counts[short].astype(np.uint64))
+        hashes, doc = np.concatenate((hashes, whole)), np.concatenate((doc, short))
+    return distinct_by_document(hashes, doc, len(counts))
+
+
 # --- the same units one text at a time, for tests and for exact comparisons ---
 
 

@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import word_ngrams
 
+def shingle_rows(df: DataFrame, id_col: str, shingles: str) -> DataFrame:
+    """(id, size, h): a row per shingle hash; texts without units have size 0 and a null h."""
+    return df.select(id_col, F.size(shingles).alias("size"), F.explode_outer(shingles).alias("h"))
 
-def shingle_rows(df: DataFrame, id_col: str, units_col: str, n: int) -> DataFrame:
-    """(id, size, h): a row per distinct shingle; texts without units have size 0 and a null h."""
-    sets = df.select(F.col(id_col), word_ngrams(F.col(units_col), n).alias("s"))
-    return sets.select(id_col, F.size("s").alias("size"), F.explode_outer("s").alias("g")).withColumn("h", F.xxhash64("g")).drop("g").withColumn("h", F.when(F.col("size") > 0, F.col("h")))
 
-
-def max_similarity(train: DataFrame, evaluation: DataFrame, id_col: str, eval_id: str, units_col: str, n: int, threshold: float | None = None) -> DataFrame:
+def max_similarity(train: DataFrame, evaluation: DataFrame, id_col: str, eval_id: str, shingles: str, threshold: float | None = None) -> DataFrame:
     """(id, best): of every training row the greatest Jaccard similarity to an evaluation row, 0 if it shares nothing.
 
     Two texts without units are equal. With a threshold only pairs whose sizes can reach it are counted.
     """
-    left = shingle_rows(train, id_col, units_col, n).withColumnRenamed("size", "ls")
-    right = shingle_rows(evaluation, eval_id, units_col, n).withColumnRenamed("size", "rs")
+    left = shingle_rows(train, id_col, shingles).withColumnRenamed("size", "ls")
+    right = shingle_rows(evaluation, eval_id, shingles).withColumnRenamed("size", "rs")
     fits = F.lit(True)
     if threshold:
         fits = (F.col("rs") >= F.ceil(threshold * F.col("ls"))) & (F.col("rs") <= F.floor(F.col("ls") / threshold))
     shared = left.filter("ls > 0").join(right.filter("rs > 0"), "h").filter(fits).groupBy(id_col, eval_id).agg(F.count("*").alias("o"), F.first("ls").alias("ls"), F.first("rs").alias("rs"))
     best = shared.groupBy(id_col).agg(F.max(F.col("o") / (F.col("ls") + F.col("rs") - F.col("o"))).alias("best"))
     blank = right.filter("rs = 0").limit(1).select(F.lit(1.0).alias("blank"))
-    sizes = left.select(id_col, "ls").distinct()
+    sizes = train.select(id_col, F.size(shingles).alias("ls"))
     return sizes.join(best, id_col, "left").join(F.broadcast(blank), F.col("ls") == 0, "left").select(id_col, F.coalesce("best", "blank", F.lit(0.0)).alias("best"))
 
 
-def decontaminate(train: DataFrame, evaluation: DataFrame, id_col: str = "doc_id", eval_id: str = "item_id", units_col: str = "units", threshold: float = 0.85, n: int = 5) -> DataFrame:
+def decontaminate(train: DataFrame, evaluation: DataFrame, id_col: str = "doc_id", eval_id: str = "item_id", shingles: str = "shingles", threshold: float = 0.85) -> DataFrame:
     """Training rows without an evaluation row of at least `threshold` similarity.
 
     Without evaluation rows all stay; else a threshold of 0 drops all.
@@ -40,5 +37,5 @@ def decontaminate(train: DataFrame, evaluation: DataFrame, id_col: str = "doc_id
         return train
     if threshold <= 0:
         return train.limit(0)
-    bad = max_similarity(train, evaluation, id_col, eval_id, units_col, n, threshold).filter(F.col("best") >= threshold)
+    bad = max_similarity(train, evaluation, id_col, eval_id, shingles, threshold).filter(F.col("best") >= threshold)
     return train.join(bad.select(id_col), id_col, "left_anti")

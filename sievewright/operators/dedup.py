@@ -6,7 +6,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,18 +40,33 @@ def signature(shingles: list[str], n: int) -> np.ndarray:
     return low
 
 
+def signatures(flat: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) least values of many sets of 64-bit shingle hashes at once; zeros for empty sets."""
+    a, b = coefficients(n)
+    out = np.zeros((len(offsets) - 1, n), np.uint64)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        for i in range(n):
+            out[full, i] = np.minimum.reduceat(flat * a[i] + b[i], offsets[full])
+    return out
+
+
 def minhash(n: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: signature(s if s is not None else [], n).view(np.int64))
+    """Arrow UDF from arrays of shingle hashes to signatures."""
+
+    def sign(sets: pa.Array) -> pa.Array:
+        sets = sets.fill_null([]) if sets.null_count else sets
+        flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        offsets = np.asarray(sets.offsets.to_numpy(), dtype=np.int64)
+        found = signatures(flat, offsets - offsets[0], n)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n, pa.int32()), pa.array(found.ravel().view(np.int64)))
 
-    return sign
+    return F.arrow_udf(sign, T.ArrayType(T.LongType()))
 
 
-def exact_dedup(df: DataFrame, text_col: str, units_col: str, order: list[str]) -> DataFrame:
-    """The first row in `order` of each canonical text. Null texts are one text; order columns must be unique."""
-    canonical = F.coalesce(tx.canonical_units(F.col(units_col), F.col(text_col)), F.lit(""))
-    return keep_first(df, [F.sha2(canonical, 256)], order)
+def exact_dedup(df: DataFrame, text_col: str, profile_col: str, order: list[str]) -> DataFrame:
+    """The first row in `order` of each canonical text. Null and empty texts are one text; order must be unique."""
+    return keep_first(df, [tx.canonical_key(F.col(profile_col), F.col(text_col))], order)
 
 
 def candidate_pairs(signed: DataFrame, num_hashes: int, num_bands: int) -> DataFrame:
@@ -73,22 +88,22 @@ def verified_pairs(pairs: DataFrame, shingled: DataFrame, threshold: float) -> D
     return joined.select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def near_duplicates(df: DataFrame, units_col: str, ord_col: str, threshold: float, ngram: int, num_hashes: int, num_bands: int) -> DataFrame:
-    """(ord, root, links): rows of clusters of verified pairs with the least row of their cluster and their links.
+def near_duplicates(df: DataFrame, shingles: str, ord_col: str, threshold: float, num_hashes: int, num_bands: int) -> DataFrame:
+    """(ord, root, links) of rows with arrays of `shingles` hashes: rows of clusters of verified pairs with the least row of their cluster and their links.
 
     Rows of equal signatures are linked to the first of them if they pass the comparison with it. Texts without
     units are never linked. ord must be unique.
     """
     if num_hashes % num_bands:
         raise ValueError("num_hashes must be a multiple of num_bands")
-    shingled = cut(df.select(F.col(ord_col).alias("ord"), tx.word_ngrams(F.col(units_col), ngram).alias("shingles")))
+    shingled = cut(df.select(F.col(ord_col).alias("ord"), F.col(shingles).alias("shingles")))
     signed = shingled.filter(F.size("shingles") > 0).select("ord", minhash(num_hashes)("shingles").alias("sig"))
     pairs = cut(verified_pairs(candidate_pairs(signed, num_hashes, num_bands), shingled, threshold).select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     return connected_components(pairs).join(ends, "node").select(F.col("node").alias(ord_col), "root", "links")
 
 
-def near_dedup(df: DataFrame, units_col: str, ord_col: str, threshold: float = 0.9, ngram: int = 5, num_hashes: int = 64, num_bands: int = 8) -> DataFrame:
+def near_dedup(df: DataFrame, shingles: str, ord_col: str, threshold: float = 0.9, num_hashes: int = 64, num_bands: int = 8) -> DataFrame:
     """Rows that are alone or the first of their cluster."""
-    found = near_duplicates(df, units_col, ord_col, threshold, ngram, num_hashes, num_bands)
+    found = near_duplicates(df, shingles, ord_col, threshold, num_hashes, num_bands)
     return df.join(found.filter(F.col(ord_col) != F.col("root")).select(ord_col), ord_col, "left_anti")

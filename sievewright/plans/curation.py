@@ -27,7 +27,7 @@ class Curated:
 
 
 def ingest(df: DataFrame, prefix: str, config: CurationConfig) -> DataFrame:
-    """(ord, doc_id, text, source, pii_replacements, units) of rows (ord, text, source); null texts become empty."""
+    """(ord, doc_id, text, source, pii_replacements, profile) of rows (ord, text, source); null texts become empty."""
     rows = df.select("ord", "source", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("_raw"))
     rows = rows.withColumn("doc_id", F.format_string(f"{prefix}-%06d-%s", "ord", tx.digest6("_raw")))
     if config.enable_pii_masking:
@@ -35,8 +35,8 @@ def ingest(df: DataFrame, prefix: str, config: CurationConfig) -> DataFrame:
     else:
         zeros = F.create_map(*[x for k in tx.PII_KEYS for x in (F.lit(k), F.lit(0).cast("bigint"))])
         rows = rows.withColumn("text", F.col("_raw")).withColumn("pii_replacements", zeros)
-    rows = rows.withColumn("units", tx.words("text"))
-    return rows.select("ord", "doc_id", "text", "source", "pii_replacements", F.lit(None).cast("double").alias("quality_score"), "units")
+    rows = rows.withColumn("profile", tx.unit_profile(config.ngram_size)("text"))
+    return rows.select("ord", "doc_id", "text", "source", "pii_replacements", F.lit(None).cast("double").alias("quality_score"), "profile")
 
 
 def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | None = None, test: DataFrame | None = None, model: QualityClassifier | None = None) -> Curated:
@@ -65,7 +65,7 @@ def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | No
     n = counts["raw_train_documents"]
     counts["quality_dropped"] = counts["model_quality_dropped"] = counts["exact_duplicates_dropped"] = counts["near_duplicates_dropped"] = counts["decontaminated_documents_dropped"] = 0
     if config.enable_quality_rules:
-        judged = train.withColumn("reason", drop_reason(F.col("text"), F.col("units"), config.min_words, config.min_alpha_ratio))
+        judged = train.withColumn("reason", drop_reason(F.col("text"), F.col("profile"), config.min_words, config.min_alpha_ratio))
         reasons = histogram_map(judged, "reason", "quality_drop_reasons")
         train, n = after("quality_dropped", judged.filter(F.col("reason").isNull()).drop("reason"), n)
     if config.enable_model_quality:
@@ -75,13 +75,14 @@ def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | No
         scores = scored.agg(F.when(F.count("*") > 0, F.struct(F.min("quality_score").alias("min"), F.avg("quality_score").alias("mean"), F.max("quality_score").alias("max"))).alias("model_quality_scores"))
         train, n = after("model_quality_dropped", scored.filter(F.col("quality_score") >= config.quality_threshold), n)
     if config.enable_exact_dedup:
-        train, n = after("exact_duplicates_dropped", exact_dedup(train, "text", "units", ["ord"]), n)
+        train, n = after("exact_duplicates_dropped", exact_dedup(train, "text", "profile", ["ord"]), n)
     if config.enable_near_dedup:
-        train, n = after("near_duplicates_dropped", near_dedup(train, "units", "ord", config.near_dedup_threshold, config.ngram_size, config.num_hashes, config.num_bands), n)
+        train, n = after("near_duplicates_dropped", near_dedup(train, "profile.shingles", "ord", config.near_dedup_threshold, config.num_hashes, config.num_bands), n)
     if config.enable_decontamination:
-        names = ["doc_id", "units"]
-        reference = held.select(*names).unionByName(tested.select(*names)).withColumnRenamed("doc_id", "item_id")
-        train, n = after("decontaminated_documents_dropped", decontaminate(train, reference, threshold=config.decontamination_threshold, n=config.ngram_size), n)
+        names = [F.col("doc_id").alias("item_id"), F.col("profile.shingles").alias("shingles")]
+        reference = held.select(*names).unionByName(tested.select(*names))
+        with_sets = train.withColumn("shingles", F.col("profile.shingles"))
+        train, n = after("decontaminated_documents_dropped", decontaminate(with_sets, reference, threshold=config.decontamination_threshold).drop("shingles"), n)
     everything = pool if validation is None else pool.unionByName(held).unionByName(tested)
     pii = everything.agg(F.create_map(*[x for k in tx.PII_KEYS for x in (F.lit(k), F.coalesce(F.sum(F.col("pii_replacements")[k]), F.lit(0)))]).alias("pii_replacements"))
     n_held, n_test = held.count(), tested.count()
@@ -91,7 +92,7 @@ def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | No
     report = report.join(reasons if reasons is not None else empty.select(F.lit(None).cast("map<string,bigint>").alias("quality_drop_reasons")))
     report = report.join(scores if scores is not None else empty.select(F.lit(None).cast("struct<min:double,mean:double,max:double>").alias("model_quality_scores")))
     del raw_train
-    return Curated(train.drop("units"), held.drop("units"), tested.drop("units"), report)
+    return Curated(train.drop("profile"), held.drop("profile"), tested.drop("profile"), report)
 
 
 def variant(base: CurationConfig, name: str) -> CurationConfig:

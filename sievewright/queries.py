@@ -49,7 +49,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("text")).withColumn("units", tx.words("text"))
+    rows = documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.withColumn("profile", tx.unit_profile(5)("text")).withColumn("shingles", F.col("profile.shingles"))
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quality_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_table(spark, sf_dir).select("doc_id", drop_reason(F.col("text"), F.col("units"), 20, 0.55).alias("reason"))
+    return unit_table(spark, sf_dir).select("doc_id", drop_reason(F.col("text"), F.col("profile"), 20, 0.55).alias("reason"))
 
 
 @query()
@@ -97,18 +98,18 @@ def quality_drop_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(unit_table(spark, sf_dir), "text", "units", ["doc_id"]).select("doc_id")
+    return exact_dedup(unit_table(spark, sf_dir), "text", "profile", ["doc_id"]).select("doc_id")
 
 
 @query()
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(unit_table(spark, sf_dir), "units", "doc_id", 0.82, 5, 64, 16)
+    return near_duplicates(unit_table(spark, sf_dir), "shingles", "doc_id", 0.82, 64, 16)
 
 
 @query()
 def decontaminate_max_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "eval_items").select("item_id", tx.words(tx.normalize_text(F.col("text"))).alias("units"))
-    return max_similarity(unit_table(spark, sf_dir), items, "doc_id", "item_id", "units", 5)
+    items = table(spark, sf_dir, "eval_items").select("item_id", tx.unit_profile(5)(tx.normalize_text(F.col("text"))).alias("p")).select("item_id", "p.shingles")
+    return max_similarity(unit_table(spark, sf_dir), items, "doc_id", "item_id", "shingles")
 
 
 _SPACE = tx.SPACE

@@ -59,6 +59,17 @@ def offer_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: Tables with enough work a row to be worth spreading when they come as few file splits.
+WIDE_WORK = ("documents", "prepared_docs", "document_spans")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if the source has splits for less than half of them; large sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     offer_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE_WORK else df

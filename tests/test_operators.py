@@ -13,7 +13,8 @@ from sievewright.operators.ordered import budget_prefix, global_rank, keep_first
 
 
 def units(spark, rows, names="doc_id long, text string"):
-    return spark.createDataFrame(rows, names).withColumn("units", tx.words("text"))
+    df = spark.createDataFrame(rows, names).withColumn("profile", tx.unit_profile(2)("text"))
+    return df.withColumn("shingles", F.col("profile.shingles"))
 
 
 def test_prefix_sums_and_ranks(spark):
@@ -60,18 +61,30 @@ def test_components_of_random_graphs(spark):
 
 def test_exact_dedup_keeps_the_first(spark):
     df = units(spark, [(2, "Hello, World"), (1, "hello world!"), (3, "…"), (4, "…"), (5, ""), (6, None)])
-    assert sorted(r.doc_id for r in exact_dedup(df, "text", "units", ["doc_id"]).collect()) == [1, 3, 5]
+    assert sorted(r.doc_id for r in exact_dedup(df, "text", "profile", ["doc_id"]).collect()) == [1, 3, 5]
 
 
 def test_near_dedup(spark):
     base = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, base), (2, base.replace("today", "tonight")), (3, "completely different words stand in this other sentence here"), (4, base), (5, ""), (6, None)]
     df = units(spark, rows)
-    assert sorted(r.doc_id for r in near_dedup(df, "units", "doc_id", 0.45, 2, 32, 32).collect()) == [1, 3, 5, 6]
-    found = {r.doc_id: (r.root, r.links) for r in near_duplicates(df, "units", "doc_id", 0.45, 2, 32, 32).collect()}
+    assert sorted(r.doc_id for r in near_dedup(df, "shingles", "doc_id", 0.45, 32, 32).collect()) == [1, 3, 5, 6]
+    found = {r.doc_id: (r.root, r.links) for r in near_duplicates(df, "shingles", "doc_id", 0.45, 32, 32).collect()}
     assert {k: v[0] for k, v in found.items()} == {1: 1, 2: 1, 4: 1} and all(v[1] >= 1 for v in found.values())
     with pytest.raises(ValueError):
-        near_dedup(df, "units", "doc_id", 0.5, 2, 10, 3)
+        near_dedup(df, "shingles", "doc_id", 0.5, 10, 3)
+
+
+def test_signatures_of_many_sets():
+    import numpy as np
+
+    from sievewright.operators.dedup import coefficients, signatures
+
+    sets = [[5, 9, 2**63 + 1], [], [7]]
+    flat, offsets = np.array([x for s in sets for x in s], np.uint64), np.array([0, 3, 3, 4])
+    a, b = (c.tolist() for c in coefficients(4))
+    want = [[min(((x * a[i] + b[i]) % 2**64 for x in s), default=0) for i in range(4)] for s in sets]
+    assert signatures(flat, offsets, 4).tolist() == want
 
 
 def test_signatures_do_not_depend_on_order():
@@ -82,11 +95,11 @@ def test_signatures_do_not_depend_on_order():
 def test_decontamination(spark):
     train = units(spark, [(1, "alpha beta gamma delta epsilon"), (2, "another text about rivers and boats"), (3, "")])
     held = units(spark, [(9, "alpha beta gamma delta epsilon")], "item_id long, text string")
-    assert sorted(r.doc_id for r in decontaminate(train, held, threshold=0.8, n=2).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in decontaminate(train, held, threshold=0.8).collect()) == [2, 3]
     assert decontaminate(train, held.limit(0), threshold=0.0).count() == 3
     assert decontaminate(train, held, threshold=0.0).count() == 0
     blank = units(spark, [(9, "")], "item_id long, text string")
-    assert sorted(r.doc_id for r in decontaminate(train, blank, threshold=0.8, n=2).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in decontaminate(train, blank, threshold=0.8).collect()) == [1, 2]
 
 
 def test_three_way_split(spark):

@@ -49,10 +49,24 @@ def test_normalize_and_mask(spark):
 
 def test_drop_reasons(spark):
     rows = [("a b c",), ("1 2 3 4 5 6 7 8",), ("no no no no no no",), ("one two three four five six",), ("",)]
-    df = spark.createDataFrame(rows, "t string").withColumn("u", tx.words("t"))
+    df = spark.createDataFrame(rows, "t string").withColumn("u", tx.unit_profile(3)("t"))
     assert [r.r for r in df.select(drop_reason(F.col("t"), F.col("u"), 4, 0.5).alias("r")).collect()] == ["too_few_words", "low_alpha_ratio", "repetitive_text", None, "too_few_words"]
 
 
+def test_profiles(spark):
+    texts = ["a b c a b c", "A, b! c", "x", "", None, "一二三", "a b c a b d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", tx.words("t")).select(tx.unit_profile(3)("t").alias("p"), tx.word_ngrams(F.col("w"), 3).alias("g")).collect()
+    for t, r in zip(texts, rows):
+        w = normalized_words(t)
+        assert (r.p.n_units, r.p.n_distinct, len(r.p.shingles)) == (len(w), len(set(w)), len(r.g))
+    known = {}
+    for r in rows:
+        for h in r.p.shingles:
+            known.setdefault(h, 0)
+    assert len(known) == len({g for r in rows for g in r.g})
+    assert (rows[0].p.h1, rows[0].p.h2) != (rows[6].p.h1, rows[6].p.h2) and rows[3].p.h1 == rows[4].p.h1 == 0
+
+
 def test_shingles_and_jaccard(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "b"], []), (["a"], ["a"], [])], "x array<string>, y array<string>, z array<string>")
     got = df.select(tx.word_ngrams(F.col("x"), 2).alias("g"), tx.word_ngrams(F.col("z"), 2).alias("e"), tx.jaccard(F.col("x"), F.col("y")).alias("j"), tx.jaccard(F.col("z"), F.col("z")).alias("o")).collect()
