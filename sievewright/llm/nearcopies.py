@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.golay import LENGTH, nearby_indices
 from sievewright.functions.sketch import minima
-from sievewright.functions.units import mix64, run_hashes, unit_blocks
+from sievewright.functions.units import distinct_by_document, mix64, run_hashes, sequence_hashes, unit_blocks
 from sievewright.llm.arrow import column, list_column, map_batches, signed, values
 from sievewright.session import cut
 
@@ -67,12 +67,9 @@ def content_hashes(df: DataFrame, s: Settings) -> DataFrame:
     def kernel(batch: pa.RecordBatch):
         texts, ids = column(batch, "_text"), values(batch, "_id")
         for low, _, units in unit_blocks(texts):
-            rank = np.arange(len(units.hashes)) - units.offsets[units.doc]
-            salted = mix64(units.hashes + mix64(rank.astype(np.uint64) + np.uint64(1)))
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (salted, mix64(salted + np.uint64(77)))]
+            h1, h2 = sequence_hashes(units)
             keep = np.flatnonzero(units.counts >= s.min_words)
-            first, last = units.offsets[keep], units.offsets[keep + 1]
-            yield {"_id": ids.take(pa.array(keep + low)), "h1": signed(sums[0][last] - sums[0][first]), "h2": signed(sums[1][last] - sums[1][first]), "n_words": units.counts[keep]}
+            yield {"_id": ids.take(pa.array(keep + low)), "h1": signed(h1[keep]), "h2": signed(h2[keep]), "n_words": units.counts[keep]}
 
     return map_batches(df, kernel, f"_id {_kind(df)}, h1 bigint, h2 bigint, n_words bigint")
 
@@ -132,13 +129,8 @@ def run_sets(df: DataFrame, s: Settings) -> DataFrame:
         texts, ids = column(batch, "_text"), values(batch, "_id")
         for low, high, units in unit_blocks(texts):
             grams, at = run_hashes(units, s.k)
-            doc = units.doc[at]
-            order = np.lexsort((grams, doc))
-            grams, doc = grams[order], doc[order]
-            new = np.ones(len(grams), dtype=bool)
-            new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-            counts = np.bincount(doc[new], minlength=high - low)
-            yield {"_id": ids.slice(low, high - low), "runs": list_column(signed(grams[new]), np.concatenate(([0], np.cumsum(counts))), pa.int64())}
+            distinct, offsets = distinct_by_document(grams, units.doc[at], high - low)
+            yield {"_id": ids.slice(low, high - low), "runs": list_column(signed(distinct), offsets, pa.int64())}
 
     return map_batches(df, kernel, f"_id {_kind(df)}, runs array<bigint>")
 
