@@ -58,3 +58,19 @@ def keep_first(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
     names = [f"_k{i}" for i in range(len(key))]
     firsts = keyed.groupBy(*names).agg(F.min(F.struct(*order)).alias("_first")).select(F.col("_first").alias("_f"))
     return keyed.withColumn("_f", F.struct(*order)).join(firsts, "_f", "left_semi").drop("_f", *names)
+
+
+def paired(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of both sides one to one; a row without its counterpart, or a repeated key, is an error when rows are read."""
+    both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), on, "full")
+    counted = both.join(both.groupBy(on).agg(F.count("*").alias("_n")), on)
+    ok = F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_n") == 1)
+    failed = F.raise_error(F.lit("the two sides differ in their rows")).cast("int")
+    return counted.withColumn("_n", F.when(ok, 1).otherwise(failed)).filter("_n = 1").drop("_l", "_r", "_n")
+
+
+def completed(wanted: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """`found` rows of the wanted ids; an id without a row is an error when rows are read."""
+    joined = wanted.select(on).distinct().join(found.withColumn("_f", F.lit(1)), on, "left")
+    failed = F.raise_error(F.lit("a wanted id is missing")).cast("int")
+    return joined.withColumn("_f", F.when(F.col("_f") == 1, 1).otherwise(failed)).filter("_f = 1").drop("_f")

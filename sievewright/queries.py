@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.config import CurationConfig
 from sievewright.functions import text as tx
 from sievewright.functions.quality import drop_reason, prose_features
-from sievewright.operators import bpe, reports, spans, splits
+from sievewright.operators import bpe, likelihood, reports, spans, splits
 from sievewright.operators.classifier import class_weights, classifier_metrics, train_classifier
 from sievewright.operators.decontam import max_similarity
 from sievewright.operators.dedup import exact_dedup, near_duplicates
@@ -401,6 +401,28 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("documents", *[F.round(c, 6).alias(c) for c in ("a_loss", "b_loss", "mixed_loss", "best_single_loss")], "improved_documents")
 
 
+def token_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    rows = table(spark, sf_dir, "prepared_docs").filter(F.trim("text") != "").groupBy("doc_id").agg(F.max("text").alias("text"))
+    merges = bpe.train(budget_prefix(rows, ["doc_id"], F.length("text"), 200_000, "text"), "text", 320)
+    return cut(bpe.encode(rows, "text", merges, "tokens", add_eos=True)), merges
+
+
+@query()
+def held_out_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, merges = token_table(spark, sf_dir)
+    train, held = rows.filter(F.col("doc_id").startswith("train")), rows.filter(F.col("doc_id").startswith("validation"))
+    return likelihood.evaluate(held, "doc_id", "text", "tokens", likelihood.fit_ngrams(train, "tokens", 258 + len(merges)), SEQ_LEN, STRIDE)
+
+
+@query()
+def held_out_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, merges = token_table(spark, sf_dir)
+    train, held = rows.filter(F.col("doc_id").startswith("train")), rows.filter(F.col("doc_id").startswith("validation"))
+    model = likelihood.fit_ngrams(train, "tokens", 258 + len(merges))
+    flat = likelihood.NgramScorer(model.uni, {}, model.size)
+    return likelihood.evaluate_ensemble(held, "doc_id", "tokens", {"bigram": model, "unigram": flat}, SEQ_LEN, STRIDE)
+
+
 _FALL = "{low} + 0.5 * ({rate} - {low}) * (1 + cos(pi() * least(1.0, greatest(0.0, {p}))))"
 
 

@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
-from sievewright.operators import bpe, reports, spans, splits
+from sievewright.operators import bpe, likelihood, reports, spans, splits
 from sievewright.operators.classifier import QualityClassifier, check_examples, class_weights, classifier_metrics
 from sievewright.operators.components import connected_components
 from sievewright.operators.decontam import decontaminate
 from sievewright.operators.dedup import exact_dedup, near_dedup, near_duplicates, signature
-from sievewright.operators.ordered import budget_prefix, global_rank, keep_first, prefix_sum
+from sievewright.operators.ordered import budget_prefix, completed, global_rank, keep_first, paired, prefix_sum
 
 
 def units(spark, rows, names="doc_id long, text string"):
@@ -292,3 +292,41 @@ def test_long_pieces_merge_alike():
         assert bpe.merge_long(list(text.encode()), rank) == bpe.PieceEncoder(merges).piece(text)
     long = "".join(rnd.choice("abc") for _ in range(20_000))
     assert bpe.decode(bpe.PieceEncoder(merges).piece(long), merges) == long
+
+
+def test_pairing(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "o long, a string"), spark.createDataFrame([(1, 5), (2, 6)], "o long, b int")
+    assert sorted(tuple(r) for r in paired(a, b, "o").select("o", "a", "b").collect()) == [(1, "x", 5), (2, "y", 6)]
+    for other in (b.limit(1), b.unionByName(b.limit(1))):
+        with pytest.raises(Exception, match="differ"):
+            paired(a, other, "o").collect()
+    assert completed(b.limit(1), a, "o").count() == 1
+    with pytest.raises(Exception, match="missing"):
+        completed(b, a.limit(1), "o").collect()
+
+
+def test_likelihood_covers_each_token_once(spark):
+    import math
+
+    import numpy as np
+
+    calls = []
+
+    def flat(window, first, end):
+        calls.append((len(window), first, end))
+        return np.full(end - first, -1.0)
+
+    assert likelihood.score_tokens(list(range(10)), flat, 4, 3).sum() == -10 and likelihood.score_tokens([], flat, 4, 3).size == 0
+    assert [end - first for _, first, end in calls] == [3, 3, 3, 1] and all(n <= 5 for n, _, _ in calls)
+    df = spark.createDataFrame([("a", "xy", [120, 121]), ("b", "", []), ("c", "xx", [120, 120])], "id string, text string, tokens array<int>")
+    model = likelihood.fit_ngrams(df, "tokens", 300)
+    assert model.uni == {120: 3, 121: 1} and model.bi == {(257, 120): 2, (120, 121): 1, (120, 120): 1}
+    probabilities = np.exp([model([120, t], 1, 2)[0] for t in range(300)])
+    assert abs(probabilities.sum() - 1) < 1e-9
+    row = likelihood.evaluate(df, "id", "text", "tokens", model, 8, 2).first()
+    want = -sum(likelihood.score_tokens(t, model, 8, 2).sum() for t in ([120, 121], [120, 120]))
+    assert row.tokens == 4 and abs(row.loss - want / 4) < 1e-9 and abs(row.bits_per_byte - want / (math.log(2) * 4)) < 1e-9
+    mixed = likelihood.evaluate_ensemble(df, "id", "tokens", {"x": model, "y": model}, 8, 2).first()
+    assert abs(mixed.mixed_loss - mixed.x_loss) < 1e-9 and mixed.documents == 2 and mixed.improved_documents == 0
+    with pytest.raises(ValueError):
+        likelihood.evaluate_ensemble(df, "id", "tokens", {"x": model}, 8, 2)
