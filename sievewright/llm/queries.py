@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_sample": sampling.sample_sql()}
+    return {"p6_sample": sampling.sample_sql(), "p10_line_frequency": repetition.line_frequency_sql()}

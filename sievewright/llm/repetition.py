@@ -100,3 +100,14 @@ def line_frequency(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumns(zero).withColumn("depleted", (F.col("removed_chars") > depleted_share * F.col("n_chars")))
 
 
+
+
+def line_frequency_sql(view: str = "documents", max_docs: int = LINE_DOCS, depleted_share: float = DEPLETED_SHARE) -> str:
+    """line_frequency over (doc_id, text, source) in DuckDB's SQL."""
+    zero = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_lines", "n_chars", "removed_lines", "removed_chars"))
+    return rf"""
+WITH p AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS host, unnest(regexp_split_to_array(text, '[\n\r]+')) AS part FROM {view}),
+k AS (SELECT * FROM (SELECT doc_id, host, length(part) AS n, trim(regexp_replace(regexp_replace(lower(part), '\p{{Nd}}+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS line FROM p) WHERE line <> ''),
+o AS (SELECT host, line, 1 AS often FROM k GROUP BY host, line HAVING count(DISTINCT doc_id) > {max_docs}),
+d AS (SELECT doc_id, count(*) AS n_lines, sum(n) AS n_chars, count(often) AS removed_lines, sum(CASE WHEN often = 1 THEN n ELSE 0 END) AS removed_chars FROM k LEFT JOIN o USING (host, line) GROUP BY doc_id)
+SELECT doc_id, {zero}, coalesce(removed_chars > {depleted_share} * n_chars, false) AS depleted FROM (SELECT doc_id FROM {view}) LEFT JOIN d USING (doc_id)"""

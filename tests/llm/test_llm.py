@@ -422,6 +422,16 @@ def test_line_frequency(spark, odd):
     assert repetition.line_frequency(odd.limit(0)).count() == 0 and repetition.line_frequency(odd.filter("doc_id <> 4")).count() == 7
 
 
+def test_line_frequency_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    found = con.execute(repetition.line_frequency_sql(max_docs=1))
+    columns = [d[0] for d in found.description]
+    rows = repetition.line_frequency(df, max_docs=1).select(*columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall()) and sum(r.removed_lines for r in rows) > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, sf, name):
     assert queries.queries()[name](spark, sf).count() >= 0
