@@ -16,6 +16,7 @@ from sievewright.operators.decontam import max_similarity
 from sievewright.operators.dedup import exact_dedup, near_duplicates
 from sievewright.operators.lineage import content_hash
 from sievewright.operators.ordered import budget_prefix
+from sievewright.plans import audit
 from sievewright.plans.curation import ablate, curate
 from sievewright.session import cut, table
 from sievewright.sources.readers import articles, lines_of, paragraphs
@@ -295,6 +296,13 @@ def tier_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("length_stratum", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), *[F.round(f"tier{k}_{x}", 8).alias(f"tier{k}_{x}") for x in ("documents", "windows") for k in range(3)])
 
 
+@query()
+def length_balanced_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("utf8_bytes"))
+    one = tiered(spark, sf_dir).filter("cache_name = 'vocab4k_len1024'").select(F.col("span_id").alias("ord"), "doc_id", "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"), "tier")
+    return audit.length_balanced_audit(one.join(sizes, "doc_id"), SEQ_LEN, 1, 5)["tiers"]
+
+
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY CASE WHEN isnan(quality_score) THEN -1 ELSE coalesce(quality_score, -1) END, doc_id) AS a, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) AS b FROM documents) SELECT round(corr(a, b), 8) AS rank_correlation FROM r")
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.rank_correlation(documents(spark, sf_dir).select("doc_id", "quality_score", "n_chars"), F.coalesce(F.nanvl("quality_score", F.lit(-1.0)), F.lit(-1.0)), F.coalesce("n_chars", F.lit(0)), "doc_id")

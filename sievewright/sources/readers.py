@@ -116,3 +116,17 @@ def read_tokens(spark: SparkSession, folder: str, contract: dict) -> DataFrame:
 
     check_contract(f"{folder}/contract.json", contract)
     return spark.read.parquet(f"{folder}/spans")
+
+
+def take_characters(df: DataFrame, order: list[str], text_col: str, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, manifest): whole rows in order until their characters reach `budget`, and one row (rows, characters,
+    content). A source with fewer characters is an error."""
+    from sievewright.operators.lineage import content_hash
+    from sievewright.operators.ordered import budget_prefix
+    from sievewright.session import cut
+
+    kept = cut(budget_prefix(df, order, F.length(text_col), budget))
+    characters = kept.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("characters"))
+    if characters.first()[0] < budget:
+        raise ValueError("the source ends before the budget")
+    return kept, content_hash(kept).join(characters)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sievewright.config import ABLATION, CurationConfig, ProjectConfig, ScheduleConfig
 from sievewright.operators.classifier import QualityClassifier
 from sievewright.operators.lineage import check_contract, content_hash, contract, write_contract
+from sievewright.plans import audit
 from sievewright.plans.curation import ablate, curate
 from sievewright.sources import readers, writers
 from sievewright.streaming import incremental
@@ -121,3 +122,26 @@ def test_streams(spark, tmp_path):
     query.stop()
     got = spark.table("seen").collect()
     assert len(got) == 2 and any(r.pii_replacements["email"] == 1 for r in got)
+
+
+def test_length_balanced_audit(spark):
+    rows = [(i, f"d{i}", 20 + (i * 7) % 90, (i * 37 % 120) / 120, (i * 37 % 120) // 40, 100 + i) for i in range(120)]
+    df = spark.createDataFrame(rows, "ord long, doc_id string, n_tokens long, score double, tier int, utf8_bytes int")
+    tables = audit.length_balanced_audit(df, 10, 2, 3, df.select("score"))
+    tiers = {(r.policy, r.tier): r for r in tables["tiers"].collect()}
+    assert len(tiers) == 6 and all(abs(tiers["candidate_tier", k].window_fraction - 1 / 3) < 0.05 for k in range(3))
+    assert tables["sample"].count() == 24 and tables["lengths_candidate"].count() == 4
+    assert sum(tables["bands"].first()) == 120 and abs(tables["correlation"].first()[0]) <= 1
+    ids = [r.doc_id for r in tables["sample"].collect()]
+    sheet = spark.createDataFrame([(d, str(i % 3)) for i, d in enumerate(ids)], "doc_id string, human_label string")
+    assert sum(r.labeled for r in audit.reviewed(tables, sheet).collect()) == 48
+    with pytest.raises(Exception, match="too few"):
+        audit.length_balanced_audit(df, 10, 50, 3)["sample"].collect()
+
+
+def test_take_characters(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "defg"), (3, "hi")], "o long, t string")
+    kept, manifest = readers.take_characters(df, ["o"], "t", 5)
+    assert sorted(r.o for r in kept.collect()) == [1, 2] and manifest.first().characters == 7 and manifest.first().rows == 2
+    with pytest.raises(ValueError):
+        readers.take_characters(df, ["o"], "t", 99)
