@@ -150,7 +150,7 @@ def only(df: DataFrame, ids: DataFrame, how: str = "left_semi", rows: int = BROA
 
 def classes(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, rep, n): members of the classes of at least two equal texts; rep is the least id. Materialised."""
-    hashed = content_hashes(docs, s)
+    hashed = cut(content_hashes(docs, s))
     groups = hashed.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     return cut(hashed.join(groups, ["h1", "h2"]).select("_id", "rep", "n"))
 
@@ -165,7 +165,7 @@ def candidates(docs: DataFrame, s: Settings) -> DataFrame:
 
 def compared(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """Of the pairs (a, b) those of which enough of 64 sketch cells agree."""
-    marks = sketches(docs, s)
+    marks = cut(sketches(docs, s))
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("_id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(4)]), side)
     agree = sum((equal_cells(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)), F.lit(0))
