@@ -53,7 +53,7 @@ def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | No
         tested = cut(ingest(test, "test-source", config)) if test is not None else pool.limit(0)
         if held.limit(1).count() == 0 or (test is not None and tested.limit(1).count() == 0):
             raise ValueError("an external split has no documents")
-    raw_train, reasons, scores = train, None, None
+    reasons = scores = None
     counts = {"raw_train_documents": train.count()}
 
     def after(stage: str, kept: DataFrame, before: int) -> tuple[DataFrame, int]:
@@ -91,7 +91,6 @@ def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | No
     empty = corpus.sparkSession.range(1)
     report = report.join(reasons if reasons is not None else empty.select(F.lit(None).cast("map<string,bigint>").alias("quality_drop_reasons")))
     report = report.join(scores if scores is not None else empty.select(F.lit(None).cast("struct<min:double,mean:double,max:double>").alias("model_quality_scores")))
-    del raw_train
     return Curated(train.drop("profile"), held.drop("profile"), tested.drop("profile"), report)
 
 
