@@ -296,6 +296,23 @@ def test_cross_split(spark, odd):
     assert overlaps.overlaps(named).count() == overlaps.overlaps(named.limit(0)).count() == 0
 
 
+def cross_pairs(spark, rows, **how):
+    """What overlaps finds in (id, text) rows, and what all pairs compared one by one give."""
+    sets = {i: runs_of(t, 3) for i, t in rows if len(t.split()) >= 20}
+    want = {(i, j) for i in sets for j in sets if i.startswith("train") and not j.startswith("train") and alike(sets[i], sets[j])}
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    return {(r.train, r.held) for r in overlaps.overlaps(df, order_col=None, **how).collect()}, want
+
+
+def test_cross_split_hot_intervals_with_short_spans(spark):
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda n, first: [f"e{n}x{i}" if i % 19 == first else w for i, w in enumerate(base)]
+    rows = [(f"train-source-{n}-x", " ".join([*base[:-1], f"t{n}"])) for n in range(3)]
+    rows += [(f"test-source-{n}-x", " ".join(edited(n, 9))) for n in range(3)]
+    got, want = cross_pairs(spark, rows, suffix_settings=overlaps.SuffixSettings(hot_pairs=3))
+    assert len(want) == 9 and got == want
+
+
 # --- 6 ---
 
 
