@@ -411,7 +411,7 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
     rows = table(spark, sf_dir, "prepared_docs").filter(F.trim("text") != "").groupBy("doc_id").agg(F.max("text").alias("text"))
-    merges = bpe.train(budget_prefix(rows, ["doc_id"], F.length("text"), 200_000, "text"), "text", 320)
+    merges = bpe.train(rows.filter(F.col("doc_id").startswith("train")), "text", 320)
     return cut(bpe.encode(rows, "text", merges, "tokens", add_eos=True)), merges
 
 
