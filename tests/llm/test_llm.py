@@ -230,6 +230,17 @@ def test_pii(spark, odd):
     assert pii.personal_information(odd).count() == 10 and pii.found_kinds(odd.limit(0)).count() == 0
 
 
+def test_pii_in_long_digit_runs():
+    phones = [f"+4477009{n:05d}" for n in range(861, 901)]
+    for sep in (", ", "\n"):
+        assert [k for _, _, k in pii.find_spans([sep.join(phones)])[0]] == ["phone"] * len(phones)
+    assert sum(k == "ipv4" for _, _, k in pii.find_spans([", ".join(f"192.168.{n}.{n + 101}" for n in range(101, 141))])[0]) > 20
+    dump = "\n".join(" ".join(str(i * j * 7919 % 99991) for j in range(1, 13)) for i in range(1, 21))
+    alone = pii.find_spans([phones[0] + " is the number to call."])[0]
+    assert [k for _, _, k in alone] == ["phone"]
+    assert pii.find_spans([dump, phones[0] + " is the number to call."]) == [[], alone]
+
+
 def test_windows_agree_over_long_texts():
     maker = Maker(8)
     text = " ".join(maker.window(400)[0] for _ in range(30))
