@@ -324,6 +324,21 @@ def test_cross_split_hot_intervals_with_short_spans(spark):
     assert len(want) == 9 and got == want
 
 
+def test_cross_split_of_short_records(spark):
+    rnd = random.Random(5)
+    rows = []
+    for n, size in enumerate([20, 20, 21, 25, 30, 40, 90]):
+        words = [f"w{n}x{i}" for i in range(size)]
+        rows.append((f"train-source-{n}-x", " ".join(words)))
+        rows.append((f"validation-source-{n}-x", " ".join("edit" if i % 14 == size // 2 % 14 else w for i, w in enumerate(words))))
+        words[rnd.randrange(size)] = "other"
+        rows.append((f"test-source-{n}-x", " ".join(words)))
+    got, want = cross_pairs(spark, rows)
+    assert len(want) > 10 and got == want
+    pairs, _, _ = overlaps.cross_split(spark.createDataFrame(rows, "doc_id string, text string"), order_col=None)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.filter("a = 'train-source-6-x' and b = 'test-source-6-x' and covered > 20").count() == 1
+
+
 # --- 6 ---
 
 
