@@ -70,14 +70,14 @@ def exact_dedup(df: DataFrame, text_col: str, profile_col: str, order: list[str]
 
 
 def candidate_pairs(signed: DataFrame, num_hashes: int, num_bands: int) -> DataFrame:
-    """(a, b), a < b: rows (ord, sig) whose signatures agree in a whole band. Rows of one signature are a star around
-    the least of them, so a group of copies is not expanded; other rows of their buckets meet that one row."""
+    """(a, b), a < b: rows (ord, sig, whole) whose signatures agree in a whole band. Rows of one set, by its hash
+    `whole`, are a star around the least of them, so a group of copies is not expanded; each other set meets that row."""
     rows = num_hashes // num_bands
-    heads = signed.groupBy("sig").agg(F.min("ord").alias("head"))
+    heads = signed.groupBy("sig", "whole").agg(F.min("ord").alias("head"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("key")))
     spread = heads.select("head", F.explode(bands).alias("x")).select("head", "x.*")
     pairs = spread.alias("l").join(spread.alias("r"), ["band", "key"]).filter(F.col("l.head") < F.col("r.head")).select(F.col("l.head").alias("a"), F.col("r.head").alias("b"))
-    copies = signed.join(heads, "sig").filter(F.col("ord") != F.col("head")).select(F.col("head").alias("a"), F.col("ord").alias("b"))
+    copies = signed.join(heads, ["sig", "whole"]).filter(F.col("ord") != F.col("head")).select(F.col("head").alias("a"), F.col("ord").alias("b"))
     return pairs.unionByName(copies).distinct()
 
 
@@ -91,13 +91,13 @@ def verified_pairs(pairs: DataFrame, shingled: DataFrame, threshold: float) -> D
 def near_duplicates(df: DataFrame, shingles: str, ord_col: str, threshold: float, num_hashes: int, num_bands: int) -> DataFrame:
     """(ord, root, links) of rows with arrays of `shingles` hashes: rows of clusters of verified pairs with the least row of their cluster and their links.
 
-    Rows of equal signatures are linked to the first of them if they pass the comparison with it. Texts without
-    units are never linked. ord must be unique.
+    Rows of equal shingle sets are linked to the first of them, which stands for them. Texts without units are never
+    linked. ord must be unique.
     """
     if num_hashes % num_bands:
         raise ValueError("num_hashes must be a multiple of num_bands")
     shingled = cut(df.select(F.col(ord_col).alias("ord"), F.col(shingles).alias("shingles")))
-    signed = shingled.filter(F.size("shingles") > 0).select("ord", minhash(num_hashes)("shingles").alias("sig"))
+    signed = shingled.filter(F.size("shingles") > 0).select("ord", minhash(num_hashes)("shingles").alias("sig"), F.xxhash64(F.array_sort("shingles")).alias("whole"))
     pairs = cut(verified_pairs(candidate_pairs(signed, num_hashes, num_bands), shingled, threshold).select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     return connected_components(pairs).join(ends, "node").select(F.col("node").alias(ord_col), "root", "links")

@@ -330,3 +330,18 @@ def test_likelihood_covers_each_token_once(spark):
     assert abs(mixed.mixed_loss - mixed.x_loss) < 1e-9 and mixed.documents == 2 and mixed.improved_documents == 0
     with pytest.raises(ValueError):
         likelihood.evaluate_ensemble(df, "id", "tokens", {"x": model}, 8, 2)
+
+
+def test_near_duplicates_of_one_signature(spark):
+    """Different sets that share a signature are all compared: three that differ in one element that no minimum shows."""
+    import numpy as np
+
+    from sievewright.operators import dedup
+
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(-(2**62), 2**62, 300)
+    plain = dedup.signatures(base.view(np.uint64), np.array([0, 300]), 16)
+    quiet = [x for x in rnd.integers(-(2**62), 2**62, 200) if (dedup.signatures(np.append(base, x).view(np.uint64), np.array([0, 301]), 16) == plain).all()][:3]
+    rows = [(i, [*base.tolist(), int(x)]) for i, x in enumerate(quiet)] + [(3, [*base.tolist(), int(quiet[0])])]
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "ord long, shingles array<long>"), "shingles", "ord", 0.9, 16, 4)
+    assert {(r.ord, r.root, r.links) for r in found.collect()} == {(0, 0, 3), (1, 0, 2), (2, 0, 2), (3, 0, 1)}
