@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,9 +28,16 @@ EMAIL_MASK, PHONE_MASK, IPV4_MASK = "|||EMAIL_ADDRESS|||", "|||PHONE_NUMBER|||",
 PII_KEYS = ("email", "phone", "ipv4")
 
 
-@lru_cache(maxsize=1)
-def _rules() -> tuple[re.Pattern[str], ...]:
-    return tuple(re.compile(p) for p in (EMAIL, PHONE, IPV4))
+NON_ASCII = r"[^\x00-\x7F]"
+_W = f"[{WORD}]"
+_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# The same patterns for Java: word characters of all scripts, an edge where Python has \b, and white space as above.
+EMAIL_JAVA = EMAIL.replace(r"\b", _EDGE)
+PHONE_JAVA = PHONE.replace(r"\s", SPACE).replace(r"\w", _W).replace(r"\d", r"\p{Nd}")
+IPV4_JAVA = IPV4.replace(r"\d", r"\p{Nd}")
+#: Marks around an IPv4 candidate while its octets are checked; normalised text has no NUL.
+_VALID_JAVA = rf"\x00({_OCTET}(?:\.{_OCTET}){{3}})\x00"
 
 
 def normalize_value(text: str | None) -> str | None:
@@ -41,18 +47,12 @@ def normalize_value(text: str | None) -> str | None:
 
 
 def mask_value(text: str) -> tuple[str, int, int, int]:
-    email, phone, ipv4 = _rules()
-    text, n_email = email.subn(EMAIL_MASK, text)
-    text, n_phone = phone.subn(PHONE_MASK, text)
-    hits = 0
-
-    def address(found: re.Match[str]) -> str:
-        nonlocal hits
-        valid = max(map(int, found[0].split("."))) <= 255
-        hits += valid
-        return IPV4_MASK if valid else found[0]
-
-    return ipv4.sub(address, text), n_email, n_phone, hits
+    """(text, email, phone, ipv4) of one text, for tests: items masked one kind after another."""
+    text, n_email = re.subn(EMAIL, EMAIL_MASK, text)
+    text, n_phone = re.subn(PHONE, PHONE_MASK, text)
+    valid = lambda m: max(map(int, m[0].split("."))) <= 255
+    n_ipv4 = sum(valid(m) for m in re.finditer(IPV4, text))
+    return re.sub(IPV4, lambda m: IPV4_MASK if valid(m) else m[0], text), n_email, n_phone, n_ipv4
 
 
 @F.pandas_udf(T.StringType())
@@ -60,34 +60,44 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(c: Column) -> Column:
+    """NFKC. Only texts with other than ASCII characters are sent to Python; of the others a null is."""
+    return F.coalesce(_nfkc(F.when(c.rlike(NON_ASCII), c)), c)
+
+
 def collapse_space(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def normalize_text(c: Column) -> Column:
-    """Compatibility forms unified, NUL and white space as single blanks. Pure ASCII never leaves the JVM's plan."""
-    return collapse_space(F.regexp_replace(_nfkc(c), "\x00", " "))
-
-
-MASKED = T.StructType([T.StructField("text", T.StringType())] + [T.StructField(k, T.LongType()) for k in PII_KEYS])
-
-
-@F.pandas_udf(MASKED)
-def mask_pii(values: pd.Series) -> pd.DataFrame:
-    """(text, email, phone, ipv4) of normalised text; null stays null with zero counts."""
-    rows = [(None, 0, 0, 0) if t is None else mask_value(t) for t in values]
-    return pd.DataFrame(rows, columns=["text", *PII_KEYS])
-
-
-def pii_map(masked: Column) -> Column:
-    return F.create_map(*[x for k in PII_KEYS for x in (F.lit(k), masked[k])])
-
-
-def pii_counts_native(c: Column) -> Column:
-    """Native counts of email and IPv4 items of raw text, without masking: struct(email, ipv4)."""
-    octets = F.filter(F.regexp_extract_all(c, F.lit(IPV4), 0), lambda x: F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255))
-    return F.struct(F.regexp_count(c, F.lit(EMAIL)).cast("bigint").alias("email"), F.size(octets).cast("bigint").alias("ipv4"))
+    """Compatibility forms unified, NUL and white space as single blanks."""
+    return collapse_space(F.regexp_replace(nfkc(c), "\x00", " "))
+
+
+def with_masked(df: DataFrame, text_col: str, out: str = "text") -> DataFrame:
+    """Adds `out` and the counts email, phone, ipv4 of normalised text: items replaced one kind after another, by native
+    expressions. Null stays null with zero counts. An IPv4 candidate is taken as a whole, then its octets are checked;
+    only ASCII digits are octets.
+    """
+    t = F.col(text_col)
+    has = lambda c, sign, then: F.when(c.contains(sign), then).otherwise(c)
+    df = df.withColumn("_m1", has(t, "@", F.regexp_replace(t, EMAIL_JAVA, EMAIL_MASK)))
+    df = df.withColumn("_m2", F.regexp_replace("_m1", PHONE_JAVA, PHONE_MASK))
+    df = df.withColumn("_m3", has(F.col("_m2"), ".", F.regexp_replace("_m2", IPV4_JAVA, "\x00$0\x00")))
+    count = lambda c, when, pattern: F.coalesce(F.when(when, F.regexp_count(c, F.lit(pattern))), F.lit(0)).cast("bigint")
+    df = df.withColumns({
+        "_n1": count(t, t.contains("@"), EMAIL_JAVA),
+        "_n2": count(F.col("_m1"), F.col("_m1") != F.col("_m2"), PHONE_JAVA),
+        "_n3": count(F.col("_m3"), F.col("_m3").contains("\x00"), _VALID_JAVA),
+        "_m4": has(F.col("_m3"), "\x00", F.regexp_replace(F.regexp_replace("_m3", _VALID_JAVA, IPV4_MASK), "\x00", "")),
+    })
+    return df.withColumns({out: F.col("_m4"), **{k: F.col(f"_n{i + 1}") for i, k in enumerate(PII_KEYS)}}).drop("_m1", "_m2", "_m3", "_m4", "_n1", "_n2", "_n3")
+
+
+def pii_map() -> Column:
+    """The counts that with_masked adds, as a map."""
+    return F.create_map(*[x for k in PII_KEYS for x in (F.lit(k), F.col(k))])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -117,12 +127,7 @@ def unit_profile(n: int):
     def profile(texts: pa.Array) -> pa.Array:
         parts = []
         for low, high, units in unit_blocks(texts.to_pylist()):
-            distinct = np.diff(distinct_by_document(units.hashes, units.doc, high - low)[1])
-            h1, h2 = sequence_hashes(units)
-            flat, offsets = shingle_sets(units, n)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
-            columns = [pa.array(units.counts, pa.int32()), pa.array(distinct, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists]
-            parts.append(pa.StructArray.from_arrays(columns, names=[f.name for f in PROFILE]))
+            parts.append(pa.StructArray.from_arrays([*_counted(units, high - low), _shingled(units, n)], names=[f.name for f in PROFILE]))
         if not parts:
             return pa.array([], to_arrow_type(PROFILE))
         return pa.concat_arrays(parts)
@@ -130,6 +135,41 @@ def unit_profile(n: int):
     return F.arrow_udf(profile, PROFILE)
 
 
+COUNTS = T.StructType([f for f in PROFILE if f.name != "shingles"])
+
+
+def _counted(units, n: int) -> list[pa.Array]:
+    distinct = np.diff(distinct_by_document(units.hashes, units.doc, n)[1])
+    h1, h2 = sequence_hashes(units)
+    return [pa.array(units.counts, pa.int32()), pa.array(distinct, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+
+
+def _shingled(units, n: int) -> pa.Array:
+    flat, offsets = shingle_sets(units, n)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def unit_counts():
+    """Arrow UDF from text to its number of units and of distinct ones and two hashes of their sequence; null is as
+    empty text. No strings of units leave the worker."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays(_counted(u, high - low), names=[f.name for f in COUNTS]) for low, high, u in unit_blocks(texts.to_pylist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(COUNTS))
+
+    return F.arrow_udf(count, COUNTS)
+
+
+def shingle_hashes(n: int):
+    """Arrow UDF from text to the hashes of its distinct n-unit shingles; null and empty texts have none."""
+
+    def shingles(texts: pa.Array) -> pa.Array:
+        parts = [_shingled(u, n) for _, _, u in unit_blocks(texts.to_pylist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return F.arrow_udf(shingles, T.ArrayType(T.LongType()))
+
+
 def canonical_key(profile: Column, text: Column) -> Column:
     """What exact duplicates share: the sequence of units, or where there are none the folded text."""
     units = F.concat_ws(":", profile["h1"].cast("string"), profile["h2"].cast("string"))
@@ -166,7 +206,7 @@ def pretokens(c: Column) -> Column:
 
 def canonical_story(c: Column) -> Column:
     """NFKC, outer white space off, blank lines inside removed."""
-    stripped = F.regexp_replace(_nfkc(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    stripped = F.regexp_replace(nfkc(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
     return F.regexp_replace(stripped, r"\n[ \t]*\n+", "\n")
 
 

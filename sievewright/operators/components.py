@@ -21,22 +21,27 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return linked.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the edges u > v are stars: every u has one edge, and none is the v of another."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    bad = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))
+    return bad.limit(1).count() == 0
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 50) -> DataFrame:
     """(node, root): every node of an edge with the least node of its component.
 
     Each round is a constant number of joins, checkpointed to the shared folder; rounds grow with the logarithm
-    of the largest component. Nothing but a count of changed edges reaches the driver. Loops and repeated edges
-    are harmless; null ends are left out; no edges give no rows.
+    of the largest component and end when all edges are stars. Nothing but one bit a round reaches the driver. Loops and
+    repeated edges are harmless; null ends are left out; no edges give no rows.
     """
     pairs = cut(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u is not null and v is not null"))
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    pairs = cut(pairs.filter("u <> v").distinct())
+    pairs = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        after = cut(_stars(_stars(pairs, True), False))
-        changed = after.join(pairs, ["u", "v"], "left_anti").limit(1).count() or after.count() != pairs.count()
-        pairs = after
-        if not changed:
+        if _settled(pairs):
             break
+        pairs = cut(_stars(_stars(pairs, True), False))
     else:
         raise RuntimeError("components did not settle; raise rounds")
     roots = pairs.groupBy("u").agg(F.min("v").alias("root"))

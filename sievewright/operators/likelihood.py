@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from sievewright.operators.bpe import EOS_ID
 from sievewright.operators.reports import corpus_loss, ensemble_summary
+from sievewright.operators.spans import sample_windows
+from sievewright.session import cut
 
 Scorer = Callable[[Sequence[int], int, int], np.ndarray]
 MAX_NGRAMS = 2_000_000
@@ -94,19 +96,38 @@ def log_likelihoods(df: DataFrame, id_col: str, tokens_col: str, scorers: dict[s
     return df.select(id_col, tokens_col).mapInPandas(run, f"`{id_col}` {kind}, n_tokens bigint, {sums}")
 
 
-def evaluate(df: DataFrame, id_col: str, text_col: str, tokens_col: str, scorer: Scorer, seq_len: int, stride: int) -> DataFrame:
-    """One row: tokens, loss, perplexity and bits per byte of a held-out corpus; each token is counted once."""
+def evaluate(df: DataFrame, id_col: str, text_col: str, tokens_col: str, scorer: Scorer, seq_len: int, stride: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (by `by`): tokens, loss, perplexity and bits per byte of a held-out corpus; each token is counted once."""
     scored = log_likelihoods(df, id_col, tokens_col, {"score": scorer}, seq_len, stride)
-    sizes = df.select(id_col, F.octet_length(F.coalesce(text_col, F.lit(""))).alias("bytes"), F.size(tokens_col).alias("expected"))
+    sizes = df.select(id_col, *by, F.octet_length(F.coalesce(text_col, F.lit(""))).alias("bytes"), F.size(tokens_col).alias("expected"))
     joined = scored.join(sizes, id_col)
     whole = F.when(F.col("n_tokens") == F.col("expected"), -F.col("score")).otherwise(F.raise_error(F.lit("a document was not scored as a whole")).cast("double"))
-    return corpus_loss(joined.withColumn("loss", whole), "loss", "n_tokens", "bytes")
+    return corpus_loss(joined.withColumn("loss", whole), "loss", "n_tokens", "bytes", by)
 
 
-def evaluate_ensemble(df: DataFrame, id_col: str, tokens_col: str, scorers: dict[str, Scorer], seq_len: int, stride: int) -> DataFrame:
-    """One row that compares two scorers with their even mixture."""
+def evaluate_windows(df: DataFrame, id_col: str, tokens_col: str, scorer: Scorer, seq_len: int, draws: int, seed: int) -> DataFrame:
+    """One row (windows, tokens, loss, perplexity): `draws` windows of seq_len tokens at random places, by the mass of
+    valid starts of each document; windows are drawn with replacement and may overlap."""
+    sized = df.select(id_col, tokens_col, F.size(tokens_col).cast("bigint").alias("_n"), F.lit(0).alias("_tier"))
+    drawn = cut(sample_windows(sized, id_col, "_n", "_tier", id_col, draws, seq_len, None, seed))
+    cutting = drawn.join(sized, id_col).select(F.col("draw"), F.slice(tokens_col, F.col("window_start").cast("int") + 1, F.lit(seq_len + 1)).alias("_w"))
+    shared = df.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        for pdf in batches:
+            sums = [float(shared.value(list(w), 1, len(w)).sum()) for w in pdf["_w"]]
+            yield pd.DataFrame({"tokens": [len(w) - 1 for w in pdf["_w"]], "loss": [-x for x in sums]})
+
+    scored = cutting.mapInPandas(run, "tokens bigint, loss double")
+    loss = F.sum("loss") / F.sum("tokens")
+    return scored.agg(F.count("*").alias("windows"), F.sum("tokens").alias("tokens"), loss.alias("loss"), F.exp(F.least(loss, F.lit(20.0))).alias("perplexity"))
+
+
+def evaluate_ensemble(df: DataFrame, id_col: str, tokens_col: str, scorers: dict[str, Scorer], seq_len: int, stride: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (by `by`) that compares two scorers with their even mixture."""
     if len(scorers) != 2:
         raise ValueError("an ensemble has two members")
     scored = log_likelihoods(df, id_col, tokens_col, scorers, seq_len, stride).filter("n_tokens > 0")
-    return ensemble_summary(scored, id_col, list(scorers), "n_tokens")
-
+    if by:
+        scored = scored.join(df.select(id_col, *by), id_col)
+    return ensemble_summary(scored, id_col, list(scorers), "n_tokens", by)

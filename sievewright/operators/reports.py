@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.operators.ordered import global_rank
@@ -22,9 +22,8 @@ def tier_statistics(df: DataFrame, tier_col: str, windows_col: str, score_col: s
     """By tier (and `by`): documents, eligible windows, share of windows, mean and exact median score, means of `extra`."""
     kept = df.filter(F.col(tier_col) >= 0)
     stats = kept.groupBy(*by, tier_col).agg(F.count("*").alias("documents"), F.sum(windows_col).alias("eligible_windows"), F.avg(score_col).alias("mean_score"), F.median(score_col).alias("median_score"), *[F.avg(c).alias(f"mean_{k}") for k, c in (extra or {}).items()])
-    totals = kept.groupBy(*by).agg(F.sum(windows_col).alias("_total"))
-    joined = stats.join(F.broadcast(totals), list(by)) if by else stats.crossJoin(F.broadcast(totals))
-    return joined.withColumn("window_fraction", F.when(F.col("_total") > 0, F.col("eligible_windows") / F.col("_total")).otherwise(0.0)).drop("_total")
+    total = F.sum("eligible_windows").over(Window.partitionBy(*(by or [F.lit(0)])))  # at most a row a tier
+    return stats.withColumn("window_fraction", F.when(total > 0, F.col("eligible_windows") / total).otherwise(0.0))
 
 
 def length_table(df: DataFrame, stratum_col: str, tier_col: str, tokens_col: str, windows_col: str) -> DataFrame:
@@ -66,18 +65,30 @@ def rank_correlation(df: DataFrame, x: Column, y: Column, tie: str) -> DataFrame
     return global_rank(ranked, ["_y", tie], "_ry").agg(F.corr("_rx", "_ry").alias("rank_correlation"))
 
 
-def score_bands(reference: DataFrame, other: DataFrame, tier_col: str, score_col: str) -> DataFrame:
-    """One row: how many scores of `other` lie up to the greatest score of tier 0, of tier 1, and above."""
-    top = lambda k: F.max(F.when(F.col(tier_col) == k, F.col(score_col))).alias(f"cut{k}")
-    cuts = reference.agg(top(0), top(1))
-    s = F.col(score_col)
-    return other.crossJoin(F.broadcast(cuts)).agg(F.count_if(s <= F.col("cut0")).alias("low"), F.count_if((s > F.col("cut0")) & (s <= F.col("cut1"))).alias("medium"), F.count_if(s > F.col("cut1")).alias("high"))
+#: Groups whose cut points score_bands compares in one pass; more are an error.
+MAX_BAND_GROUPS = 10_000
 
 
-def corpus_loss(df: DataFrame, loss_col: str, tokens_col: str, bytes_col: str) -> DataFrame:
-    """One row: tokens, mean loss, perplexity (of a loss up to 20) and bits per byte."""
+def score_bands(reference: DataFrame, other: DataFrame, tier_col: str, score_col: str, by: str | None = None) -> DataFrame:
+    """One row (for each `by` of the reference): how many scores of `other` lie up to the greatest score of tier 0, of
+    tier 1, and above. The cut points of at most MAX_BAND_GROUPS groups pass through the driver."""
+    top = lambda k: F.max(F.when(F.col(tier_col) == k, F.col(score_col))).alias(f"cut{k}")
+    group = F.col(by).alias("g") if by else F.lit(0).alias("g")
+    cuts = reference.groupBy(group).agg(top(0), top(1)).limit(MAX_BAND_GROUPS + 1).collect()
+    if len(cuts) > MAX_BAND_GROUPS:
+        raise ValueError(f"more than {MAX_BAND_GROUPS} groups")
+    s, kind = F.col(score_col), reference.select(group).schema["g"].dataType.simpleString()
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r["cut0"]).cast("double").alias("cut0"), F.lit(r["cut1"]).cast("double").alias("cut1")) for i, r in enumerate(cuts)])
+    met = other.select(s, F.explode(bands).alias("x")).groupBy("x.i").agg(F.count_if(s <= F.col("x.cut0")).alias("low"), F.count_if((s > F.col("x.cut0")) & (s <= F.col("x.cut1"))).alias("medium"), F.count_if(s > F.col("x.cut1")).alias("high"))
+    numbered = reference.sparkSession.createDataFrame([(i, r["g"]) for i, r in enumerate(cuts)], f"i int, g {kind}")
+    counted = numbered.join(met, "i", "left").select("g", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("low", "medium", "high")])
+    return counted.withColumnRenamed("g", by) if by else counted.drop("g")
+
+
+def corpus_loss(df: DataFrame, loss_col: str, tokens_col: str, bytes_col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (by `by`): tokens, mean loss, perplexity (of a loss up to 20) and bits per byte."""
     loss = F.sum(loss_col) / F.sum(tokens_col)
-    return df.agg(F.sum(tokens_col).alias("tokens"), loss.alias("loss"), F.exp(F.least(loss, F.lit(20.0))).alias("perplexity"), (F.sum(loss_col) / (F.lit(math.log(2)) * F.sum(bytes_col))).alias("bits_per_byte"))
+    return df.groupBy(*by).agg(F.sum(tokens_col).alias("tokens"), loss.alias("loss"), F.exp(F.least(loss, F.lit(20.0))).alias("perplexity"), (F.sum(loss_col) / (F.lit(math.log(2)) * F.sum(bytes_col))).alias("bits_per_byte"))
 
 
 def mixture(a: Column, b: Column) -> Column:
@@ -92,13 +103,13 @@ def gold_log_probability(logits: Column, target: Column) -> Column:
     return F.element_at(logits, target + 1) - top - F.ln(total)
 
 
-def ensemble_summary(df: DataFrame, doc_col: str, members: list[str], tokens_col: str) -> DataFrame:
-    """One row from per-document log-probability sums of two members and their mixture (`mixed`): losses,
+def ensemble_summary(df: DataFrame, doc_col: str, members: list[str], tokens_col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (by `by`) from per-document log-probability sums of two members and their mixture (`mixed`): losses,
     perplexities, the best member's loss and how many documents the mixture improves on both."""
     loss = {m: -F.sum(m) / F.sum(tokens_col) for m in (*members, "mixed")}
     better = F.count_if(F.col("mixed") > F.greatest(*members))
     cols = [c for m, v in loss.items() for c in (v.alias(f"{m}_loss"), F.exp(F.least(v, F.lit(20.0))).alias(f"{m}_perplexity"))]
-    return df.agg(F.count(doc_col).alias("documents"), *cols, F.least(*[loss[m] for m in members]).alias("best_single_loss"), better.alias("improved_documents"))
+    return df.groupBy(*by).agg(F.count(doc_col).alias("documents"), *cols, F.least(*[loss[m] for m in members]).alias("best_single_loss"), better.alias("improved_documents"))
 
 
 def _warm(step: Column, rate: float, warmup: int) -> Column:

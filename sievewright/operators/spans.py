@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.operators.joins import met
 from sievewright.operators.ordered import global_rank, prefix_sum
 from sievewright.session import cut
 
@@ -21,6 +22,15 @@ def span_offsets(df: DataFrame, tokens_col: str, order: list[str], by: tuple[str
     return prefix_sum(df, order, tokens_col, "span_start", by).withColumn("span_end", F.col("span_start") + F.col(tokens_col))
 
 
+def _with_group(df: DataFrame, by: tuple[str, ...], ord_col: str, total: Column) -> DataFrame:
+    """Rows with an aggregate of their group, which is counted before it is broadcast; of one group it is a number."""
+    totals = cut(df.groupBy(*by).agg(total))
+    if by:
+        return met(df, totals, list(by), ord_col)
+    name = totals.columns[0]
+    return df.withColumn(name, F.lit(totals.first()[0]).cast("bigint"))
+
+
 def quality_tiers(df: DataFrame, tokens_col: str, score_col: str, ord_col: str, seq_len: int, by: tuple[str, ...] = (), out: str = "tier") -> DataFrame:
     """Adds `out`: thirds of the valid window starts in the order of score, then ord; -1 for spans without any.
 
@@ -30,8 +40,7 @@ def quality_tiers(df: DataFrame, tokens_col: str, score_col: str, ord_col: str,
     rest, eligible = weighed.filter(F.coalesce(F.col("_w"), F.lit(0)) <= 0), weighed.filter("_w > 0")
     score = F.coalesce(F.nanvl(score_col, F.lit(None).cast("double")), F.lit(float("-inf")))
     summed = prefix_sum(eligible, [score, ord_col], "_w", "_before", by)
-    totals = summed.groupBy(*by).agg(F.sum("_w").alias("_total"))
-    joined = summed.join(F.broadcast(totals), list(by)) if by else summed.crossJoin(F.broadcast(totals))
+    joined = _with_group(summed, by, ord_col, F.sum("_w").alias("_total"))
     middle = (F.col("_before") + F.col("_w") / 2) / F.col("_total")
     tier = F.when(middle <= 1 / 3, 0).when(middle <= 2 / 3, 1).otherwise(2)
     return joined.withColumn(out, tier).drop("_w", "_before", "_total").unionByName(rest.withColumn(out, F.lit(-1)).drop("_w"))
@@ -44,8 +53,7 @@ def length_strata(df: DataFrame, tokens_col: str, ord_col: str, seq_len: int, st
     eligible = df.filter(valid_starts(F.col(tokens_col), seq_len) > 0)
     rest = df.filter(F.coalesce(valid_starts(F.col(tokens_col), seq_len), F.lit(0)) <= 0)
     ranked = global_rank(eligible, [tokens_col, ord_col], "_rank", by)
-    sizes = ranked.groupBy(*by).agg(F.count("*").alias("_n"))
-    joined = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.crossJoin(F.broadcast(sizes))
+    joined = _with_group(ranked, by, ord_col, F.count("*").alias("_n"))
     enough = F.when(F.col("_n") >= strata, F.col("_n")).otherwise(F.raise_error(F.lit("too few eligible documents for the strata")).cast("bigint"))
     placed = joined.withColumn("length_stratum", F.floor(F.col("_rank") * strata / enough).cast("int")).drop("_rank", "_n")
     return placed.unionByName(rest.withColumn("length_stratum", F.lit(None).cast("int")))
@@ -74,15 +82,19 @@ def sample_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, o
     """(draw, tier, id, window_start): windows drawn by tier, then span by its valid starts, then offset.
 
     probabilities None draws spans by their mass over all tiers. Cumulative masses are met by an equi-join on
-    slots of the unit interval, about one for every 32 spans, and a range test, so a draw meets few spans. Tiers without spans are left out of
-    the draw; a window never crosses a document.
+    slots of the unit interval, about one for every 32 spans, and a range test, so a draw meets few spans. A tier with
+    a probability but without spans is an error; a window never crosses a document.
     """
     eligible = df.withColumn("_w", valid_starts(F.col(tokens_col), seq_len)).filter("_w > 0").withColumn("_t", F.col(tier_col) if probabilities else F.lit(0))
     summed = cut(prefix_sum(eligible, [ord_col], "_w", "_before", ("_t",)))
     slots_n = 1 << max(MIN_SLOTS.bit_length() - 1, (summed.count() // SPANS_PER_SLOT).bit_length())
-    totals = summed.groupBy("_t").agg(F.sum("_w").alias("_total"))
+    totals = cut(summed.groupBy("_t").agg(F.sum("_w").alias("_total")))
+    found = {r["_t"] for r in totals.filter(F.col("_t").isin(*range(len(probabilities or (1,))))).select("_t").collect()}
+    empty = [k for k, p in enumerate(probabilities or (1.0,)) if p > 0 and k not in found]
+    if empty and draws > 0:
+        raise ValueError(f"no eligible span in tier {', '.join(map(str, empty))}")
     low, high = F.col("_before") / F.col("_total"), (F.col("_before") + F.col("_w")) / F.col("_total")
-    spans = summed.join(F.broadcast(totals), "_t").withColumn("_low", low).withColumn("_high", high)
+    spans = met(summed, totals, ["_t"], ord_col).withColumn("_low", low).withColumn("_high", high)
     slots = F.sequence(F.floor(F.col("_low") * slots_n).cast("int"), F.least(F.floor(F.col("_high") * slots_n), F.lit(slots_n - 1)).cast("int"))
     spans = spans.withColumn("_slot", F.explode(slots)).select("_t", "_slot", "_low", "_high", "_w", id_col)
     drawn = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
@@ -97,9 +109,9 @@ def sample_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, o
             steps = F.when(F.col("_u0") < edges[i], i).otherwise(steps)
         tier = steps
     drawn = drawn.withColumn("_u0", uniform(seed, F.lit("tier"), F.col("draw"))).withColumn("_t", tier).withColumn("_u", uniform(seed, F.lit("span"), F.col("draw"))).withColumn("_slot", F.floor(F.col("_u") * slots_n).cast("int"))
-    met = drawn.join(spans, ["_t", "_slot"]).filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    hit = drawn.join(spans, ["_t", "_slot"]).filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
     start = F.floor(uniform(seed, F.lit("start"), F.col("draw")) * F.col("_w")).cast("bigint")
-    return met.select("draw", F.col("_t").alias("tier"), id_col, start.alias("window_start"))
+    return hit.select("draw", F.col("_t").alias("tier"), id_col, start.alias("window_start"))
 
 
 def draw_counts(sampled: DataFrame, tier_col: str = "tier") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
+from sievewright.operators.joins import met
 from sievewright.operators.ordered import global_rank, keep_first
+from sievewright.session import cut
 
 
 def half_even(n: int, fraction: float) -> int:
@@ -40,8 +42,8 @@ def label_hold_out(df: DataFrame, text_col: str, label_col: str, fraction: float
     """Adds `split`: of each label the first rows in bucket order are validation, at least one."""
     bucket = F.conv(F.concat(*[F.substring(tx.digest8(F.col(text_col)), 15 - 2 * i, 2) for i in range(8)]), 16, 10).cast("decimal(20,0)") % F.lit(2**31 - 1)
     ranked = global_rank(df, [bucket, F.col(text_col)], "_rank", (label_col,))
-    sizes = df.groupBy(label_col).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("_held"))
-    joined = ranked.join(F.broadcast(sizes), label_col)
+    sizes = cut(df.groupBy(label_col).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("_held")))
+    joined = met(ranked, sizes, [label_col], text_col)
     return joined.withColumn("split", F.when(F.col("_rank") < F.col("_held"), "validation").otherwise("train")).drop("_rank", "_held")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from sievewright.functions import text as tx
 from sievewright.functions.quality import drop_reason
 from sievewright.operators.classifier import QualityClassifier
 from sievewright.operators.decontam import decontaminate
-from sievewright.operators.dedup import exact_dedup, near_dedup
-from sievewright.operators.reports import histogram_map
+from sievewright.operators.dedup import near_duplicates
+from sievewright.operators.joins import met
 from sievewright.operators.splits import hold_out
-from sievewright.session import cut
+from sievewright.session import cut, rows_of
 
 
 @dataclass
@@ -27,70 +28,92 @@ class Curated:
 
 
 def ingest(df: DataFrame, prefix: str, config: CurationConfig) -> DataFrame:
-    """(ord, doc_id, text, source, pii_replacements, profile) of rows (ord, text, source); null texts become empty."""
+    """(ord, doc_id, text, source, pii_replacements, quality_score, profile) of rows (ord, text, source); null texts become empty."""
     rows = df.select("ord", "source", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("_raw"))
     rows = rows.withColumn("doc_id", F.format_string(f"{prefix}-%06d-%s", "ord", tx.digest6("_raw")))
     if config.enable_pii_masking:
-        rows = rows.withColumn("_m", tx.mask_pii("_raw")).withColumn("text", F.col("_m.text")).withColumn("pii_replacements", tx.pii_map(F.col("_m")))
+        rows = tx.with_masked(rows, "_raw").withColumn("pii_replacements", tx.pii_map())
     else:
         zeros = F.create_map(*[x for k in tx.PII_KEYS for x in (F.lit(k), F.lit(0).cast("bigint"))])
         rows = rows.withColumn("text", F.col("_raw")).withColumn("pii_replacements", zeros)
-    rows = rows.withColumn("profile", tx.unit_profile(config.ngram_size)("text"))
+    rows = rows.withColumn("profile", tx.unit_counts()("text"))
     return rows.select("ord", "doc_id", "text", "source", "pii_replacements", F.lit(None).cast("double").alias("quality_score"), "profile")
 
 
+REPORT = "raw_documents raw_train_documents quality_dropped model_quality_dropped exact_duplicates_dropped near_duplicates_dropped decontaminated_documents_dropped kept_documents train_documents validation_documents test_documents".split()
+
+
 def curate(corpus: DataFrame, config: CurationConfig, validation: DataFrame | None = None, test: DataFrame | None = None, model: QualityClassifier | None = None) -> Curated:
-    """Splits and one-row report of rows (ord, text, source). Only the training part is filtered; stages are
-    materialised in the shared checkpoint folder, because the report counts each of them."""
+    """Splits and one-row report of rows (ord, text, source). Only the training part is filtered.
+
+    The texts are written once, normalised and masked, to the shared checkpoint folder. The stages pass on nothing but
+    ords, keys and shingle hashes, and the texts of the rows that are left are joined at the end.
+    """
     config.validate()
+    if config.enable_model_quality and model is None:
+        raise ValueError("model quality needs a classifier")
+    spark = corpus.sparkSession
     pool = cut(ingest(corpus, "train-source", config))
     if validation is None:
-        parts = cut(hold_out(pool, "doc_id", config.validation_fraction))
-        train, held = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "validation"))
+        parts = cut(hold_out(pool.select("ord", "doc_id"), "doc_id", config.validation_fraction))
+        chosen = {s: cut(parts.filter(F.col("split") == s).select("ord")) for s in ("train", "validation")}
+        held = met(pool, chosen["validation"], ["ord"], "ord", "left_semi")
+        alive = met(pool, chosen["validation"], ["ord"], "ord", "left_anti")
         tested = pool.limit(0)
     else:
-        train, held = pool, cut(ingest(validation, "validation-source", config))
+        alive, held = pool, cut(ingest(validation, "validation-source", config))
         tested = cut(ingest(test, "test-source", config)) if test is not None else pool.limit(0)
         if held.limit(1).count() == 0 or (test is not None and tested.limit(1).count() == 0):
             raise ValueError("an external split has no documents")
-    reasons = scores = None
-    counts = {"raw_train_documents": train.count()}
-
-    def after(stage: str, kept: DataFrame, before: int) -> tuple[DataFrame, int]:
+    counts = dict.fromkeys(REPORT, 0)
+    reason = drop_reason(F.col("text"), F.col("profile"), config.min_words, config.min_alpha_ratio) if config.enable_quality_rules else F.lit(None).cast("string")
+    keyed = cut(alive.select("ord", reason.alias("reason"), tx.canonical_key(F.col("profile"), F.col("text")).alias("key")))
+    reasons = {r["reason"]: r["n"] for r in keyed.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    n = reasons.pop(None, 0)
+    counts["quality_dropped"] = sum(reasons.values())
+    counts["raw_train_documents"] = n + counts["quality_dropped"]
+    left, scores, scored = keyed.filter(F.col("reason").isNull()).select("ord", "key"), None, None
+
+    def drop(stage: str, kept: DataFrame) -> DataFrame:
+        nonlocal n
         kept = cut(kept)
-        n = kept.count()
+        before, n = n, rows_of(kept)
         counts[stage] = before - n
-        return kept, n
-
-    n = counts["raw_train_documents"]
-    counts["quality_dropped"] = counts["model_quality_dropped"] = counts["exact_duplicates_dropped"] = counts["near_duplicates_dropped"] = counts["decontaminated_documents_dropped"] = 0
-    if config.enable_quality_rules:
-        judged = train.withColumn("reason", drop_reason(F.col("text"), F.col("profile"), config.min_words, config.min_alpha_ratio))
-        reasons = histogram_map(judged, "reason", "quality_drop_reasons")
-        train, n = after("quality_dropped", judged.filter(F.col("reason").isNull()).drop("reason"), n)
+        return kept
+
     if config.enable_model_quality:
-        if model is None:
-            raise ValueError("model quality needs a classifier")
-        scored = cut(model.score(train.drop("quality_score"), "text"))
-        scores = scored.agg(F.when(F.count("*") > 0, F.struct(F.min("quality_score").alias("min"), F.avg("quality_score").alias("mean"), F.max("quality_score").alias("max"))).alias("model_quality_scores"))
-        train, n = after("model_quality_dropped", scored.filter(F.col("quality_score") >= config.quality_threshold), n)
+        passed = alive.withColumn("reason", reason).filter(F.col("reason").isNull()).select("ord", "text")
+        scored = cut(model.score(passed, "text").select("ord", "quality_score"))
+        row = scored.agg(F.count("quality_score").alias("n"), F.min("quality_score").alias("min"), F.avg("quality_score").alias("mean"), F.max("quality_score").alias("max")).first()
+        scores = (row["min"], row["mean"], row["max"]) if row["n"] else None
+        left = drop("model_quality_dropped", left.join(scored.filter(F.col("quality_score") >= config.quality_threshold).select("ord"), "ord", "left_semi"))
     if config.enable_exact_dedup:
-        train, n = after("exact_duplicates_dropped", exact_dedup(train, "text", "profile", ["ord"]), n)
-    if config.enable_near_dedup:
-        train, n = after("near_duplicates_dropped", near_dedup(train, "profile.shingles", "ord", config.near_dedup_threshold, config.num_hashes, config.num_bands), n)
-    if config.enable_decontamination:
-        names = [F.col("doc_id").alias("item_id"), F.col("profile.shingles").alias("shingles")]
-        reference = held.select(*names).unionByName(tested.select(*names))
-        with_sets = train.withColumn("shingles", F.col("profile.shingles"))
-        train, n = after("decontaminated_documents_dropped", decontaminate(with_sets, reference, threshold=config.decontamination_threshold).drop("shingles"), n)
-    everything = pool if validation is None else pool.unionByName(held).unionByName(tested)
-    pii = everything.agg(F.create_map(*[x for k in tx.PII_KEYS for x in (F.lit(k), F.coalesce(F.sum(F.col("pii_replacements")[k]), F.lit(0)))]).alias("pii_replacements"))
-    n_held, n_test = held.count(), tested.count()
-    numbers = {"raw_documents": counts["raw_train_documents"] + n_held + n_test, **counts, "kept_documents": n + n_held + n_test, "train_documents": n, "validation_documents": n_held, "test_documents": n_test}
-    report = pii.select(*[F.lit(v).cast("bigint").alias(k) for k, v in numbers.items()], "pii_replacements")
-    empty = corpus.sparkSession.range(1)
-    report = report.join(reasons if reasons is not None else empty.select(F.lit(None).cast("map<string,bigint>").alias("quality_drop_reasons")))
-    report = report.join(scores if scores is not None else empty.select(F.lit(None).cast("struct<min:double,mean:double,max:double>").alias("model_quality_scores")))
+        left = drop("exact_duplicates_dropped", left.groupBy("key").agg(F.min("ord").alias("ord")).select("ord"))
+    left = left.select("ord")
+    if config.enable_near_dedup or config.enable_decontamination:
+        sets = cut(met(pool, left, ["ord"], "ord", "left_semi").select("ord", "doc_id", tx.shingle_hashes(config.ngram_size)("text").alias("shingles")))
+        if config.enable_near_dedup:
+            found = near_duplicates(sets, "shingles", "ord", config.near_dedup_threshold, config.num_hashes, config.num_bands)
+            copies = cut(found.filter("ord <> root").select("ord"))
+            left = drop("near_duplicates_dropped", met(left, copies, ["ord"], "ord", "left_anti"))
+        if config.enable_decontamination:
+            reference = held.unionByName(tested).select(F.col("doc_id").alias("item_id"), tx.shingle_hashes(config.ngram_size)("text").alias("shingles"))
+            clean = decontaminate(met(sets, left, ["ord"], "ord", "left_semi"), reference, threshold=config.decontamination_threshold, id_col="ord")
+            left = drop("decontaminated_documents_dropped", clean.select("ord"))
+    train = met(pool, left, ["ord"], "ord", "left_semi")
+    if scored is not None:
+        train = train.drop("quality_score").join(scored, "ord", "left").select(*pool.columns)
+    sides = [pool] if validation is None else [pool, held, tested]
+    sums = [F.coalesce(F.sum(F.col("pii_replacements")[k]), F.lit(0)).alias(k) for k in tx.PII_KEYS]
+    every = reduce(DataFrame.unionByName, [side.select(F.lit(i).alias("side"), "pii_replacements") for i, side in enumerate(sides)])
+    totals = {r["side"]: r for r in every.groupBy("side").agg(F.count("*").alias("n"), *sums).collect()}
+    pii = {k: sum(r[k] for r in totals.values()) for k in tx.PII_KEYS}
+    size = lambda i: totals[i]["n"] if i in totals else 0
+    n_held, n_test = (size(0) - counts["raw_train_documents"], 0) if validation is None else (size(1), size(2))
+    counts |= {"raw_documents": counts["raw_train_documents"] + n_held + n_test, "kept_documents": n + n_held + n_test, "train_documents": n, "validation_documents": n_held, "test_documents": n_test}
+    histogram = dict(sorted(reasons.items())) if config.enable_quality_rules else None
+    schema = ", ".join(f"{k} bigint" for k in REPORT) + ", pii_replacements map<string,bigint>, quality_drop_reasons map<string,bigint>, model_quality_scores struct<min:double,mean:double,max:double>"
+    report = spark.createDataFrame([(*[counts[k] for k in REPORT], pii, histogram, scores)], schema)
     return Curated(train.drop("profile"), held.drop("profile"), tested.drop("profile"), report)
 
 

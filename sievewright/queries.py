@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright import sql
 from sievewright.config import CurationConfig
 from sievewright.functions import text as tx
 from sievewright.functions.quality import drop_reason, prose_features
 from sievewright.operators import bpe, likelihood, reports, spans, splits
-from sievewright.operators.classifier import class_weights, classifier_metrics, train_classifier
+from sievewright.operators.classifier import QualityClassifier, class_weights, train_classifier
 from sievewright.operators.decontam import max_similarity
 from sievewright.operators.dedup import exact_dedup, near_duplicates
 from sievewright.operators.lineage import content_hash
@@ -50,67 +51,113 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
-    return rows.withColumn("profile", tx.unit_profile(5)("text")).withColumn("shingles", F.col("profile.shingles"))
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("ord"), "text", F.col("suite").alias("source"))
 
 
+_DOCS = "d0 AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)"
+_NORMAL = f"WITH RECURSIVE {_DOCS}, {sql.normalized('d0', 'd1')}"
+_UNITS = f"{_NORMAL}, {sql.units('d1', 'd2')}"
 # --- text ---
 
-
-@query()
+_P = PROFILE
+_FUNNEL = f"""{_NORMAL}, {sql.masked("d1", "dm")}, {sql.units("dm", "du")},
+e0 AS (SELECT item_id AS id, coalesce(text, '') AS t FROM eval_items), {sql.normalized("e0", "e1")}, {sql.masked("e1", "em")}, {sql.units("em", "eu")}, {sql.run_rows("eu", "er", 5, True)},
+judged AS (SELECT id, t, w, {sql.reason("t", "w", _P.min_words, _P.min_alpha_ratio)} AS reason FROM dm JOIN du USING (id)),
+firsts AS (SELECT min(id) AS id FROM judged WHERE reason IS NULL GROUP BY CASE WHEN len(w) > 0 THEN 'u' || array_to_string(w, ' ') ELSE 't' || lower(t) END),
+fw AS (SELECT id, w FROM du JOIN firsts USING (id)), {sql.run_rows("fw", "fr", 5, True)}, fn AS (SELECT id, count(*) AS n FROM fr GROUP BY id), en AS (SELECT id, count(*) AS n FROM er GROUP BY id),
+links AS (SELECT x.id AS a, y.id AS b FROM fr x JOIN fr y ON x.h = y.h AND x.id < y.id JOIN fn p ON p.id = x.id JOIN fn q ON q.id = y.id GROUP BY x.id, y.id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= {_P.near_dedup_threshold}),
+{sql.components("links", "roots")},
+alone AS (SELECT id FROM firsts WHERE id NOT IN (SELECT id FROM roots WHERE id <> root)),
+dirty AS (SELECT DISTINCT x.id AS id FROM fr x JOIN er y ON x.h = y.h JOIN fn p ON p.id = x.id JOIN en q ON q.id = y.id GROUP BY x.id, y.id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= {_P.decontamination_threshold}),
+kept AS (SELECT id FROM alone WHERE id NOT IN (SELECT id FROM dirty))"""
+_REASONS = ("too_few_words", "low_alpha_ratio", "repetitive_text")
+
+
+@query(_FUNNEL + " SELECT id AS ord, 'train-source-' || printf('%06d', id) AS prefix, t AS text, coalesce(source, '') AS source, email, phone, ipv4 FROM kept JOIN dm USING (id) JOIN documents ON doc_id = id")
 def curated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate(corpus(spark, sf_dir), PROFILE, held_out(spark, sf_dir)).train
+    """The flagship: the curated training part. The digest at the end of a doc_id is left out, as SQL has none."""
+    rows = curate(corpus(spark, sf_dir), PROFILE, held_out(spark, sf_dir)).train
+    return rows.select("ord", F.substring_index("doc_id", "-", 3).alias("prefix"), "text", "source", *[F.col("pii_replacements")[k].alias(k) for k in tx.PII_KEYS])
 
 
-@query()
+@query(
+    _FUNNEL
+    + f""", n AS (SELECT (SELECT count(*) FROM d0) AS raw_train_documents, (SELECT count(*) FROM e0) AS validation_documents, (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS quality_dropped, (SELECT count(*) FROM firsts) AS f, (SELECT count(*) FROM alone) AS a, (SELECT count(*) FROM kept) AS train_documents)
+SELECT raw_train_documents + validation_documents AS raw_documents, raw_train_documents, quality_dropped, raw_train_documents - quality_dropped - f AS exact_duplicates_dropped, f - a AS near_duplicates_dropped, a - train_documents AS decontaminated_documents_dropped, train_documents + validation_documents AS kept_documents, train_documents, validation_documents,
+{", ".join(f"(SELECT count(*) FROM judged WHERE reason = '{r}') AS {r}" for r in _REASONS)}, {", ".join(f"((SELECT sum({k}) FROM dm) + (SELECT sum({k}) FROM em))::BIGINT AS {k}" for k in tx.PII_KEYS)} FROM n"""
+)
 def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate(corpus(spark, sf_dir), PROFILE).report
+    found = curate(corpus(spark, sf_dir), PROFILE, held_out(spark, sf_dir)).report
+    counts = ("raw_documents", "raw_train_documents", "quality_dropped", "exact_duplicates_dropped", "near_duplicates_dropped", "decontaminated_documents_dropped", "kept_documents", "train_documents", "validation_documents")
+    return found.select(*counts, *[F.coalesce(F.col("quality_drop_reasons")[r], F.lit(0)).alias(r) for r in _REASONS], *[F.col("pii_replacements")[k].alias(k) for k in tx.PII_KEYS])
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> QualityClassifier:
+    """A model of the label 2 against the others, fitted on the labelled documents."""
+    return train_classifier(labelled(spark, sf_dir), 512, 30)[0]
 
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablate(corpus(spark, sf_dir), PROFILE, held_out(spark, sf_dir), names=("raw", "heuristic", "dedup"))
+    """All four variants; the last filters by a model of quality_labels."""
+    return ablate(corpus(spark, sf_dir), PROFILE, held_out(spark, sf_dir), model=quality_model(spark, sf_dir))
 
 
-@query()
+@query(_NORMAL.replace("coalesce(text, '')", "text") + " SELECT id AS doc_id, t AS text FROM d1")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(_NORMAL.replace("coalesce(text, '')", "text") + f", {sql.masked('d1', 'dm')} SELECT id AS doc_id, t AS text, {', '.join(f'coalesce({k}, 0) AS {k}' for k in tx.PII_KEYS)} FROM dm")
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = documents(spark, sf_dir).select("doc_id", tx.mask_pii(tx.normalize_text(F.col("text"))).alias("m"))
-    return masked.select("doc_id", "m.text", "m.email", "m.phone", "m.ipv4")
+    return tx.with_masked(normalize_text(spark, sf_dir), "text")
 
 
-@query()
+@query(f"{_UNITS} SELECT id AS doc_id, {sql.reason('t', 'w', 20, 0.55)} AS reason FROM d1 JOIN d2 USING (id)")
 def quality_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_table(spark, sf_dir).select("doc_id", drop_reason(F.col("text"), F.col("profile"), 20, 0.55).alias("reason"))
+    return unit_table(spark, sf_dir).select("doc_id", drop_reason(F.col("text"), tx.unit_counts()("text"), 20, 0.55).alias("reason"))
 
 
-@query()
+@query(f"{_UNITS} SELECT reason, count(*) AS documents FROM (SELECT {sql.reason('t', 'w', 20, 0.55)} AS reason FROM d1 JOIN d2 USING (id)) WHERE reason IS NOT NULL GROUP BY reason")
 def quality_drop_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.histogram_map(quality_reason(spark, sf_dir), "reason", "quality_drop_reasons")
+    found = reports.histogram_map(quality_reason(spark, sf_dir), "reason", "quality_drop_reasons")
+    return found.select(F.explode("quality_drop_reasons").alias("reason", "documents"))
 
 
-@query()
+@query(f"{_UNITS} SELECT min(id) AS doc_id FROM d1 JOIN d2 USING (id) GROUP BY CASE WHEN len(w) > 0 THEN 'u' || array_to_string(w, ' ') ELSE 't' || lower(t) END")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(unit_table(spark, sf_dir), "text", "profile", ["doc_id"]).select("doc_id")
+    return exact_dedup(unit_table(spark, sf_dir).withColumn("profile", tx.unit_counts()("text")), "text", "profile", ["doc_id"]).select("doc_id")
 
 
-@query()
+_NEAR = f"""{_UNITS}, {sql.run_rows("d2", "r", 5, True)}, s AS (SELECT id, count(*) AS n, string_agg(h, chr(1) ORDER BY h) AS whole FROM r GROUP BY id),
+heads AS (SELECT id, n, min(id) OVER (PARTITION BY whole) AS head FROM s),
+hr AS (SELECT id, h, n FROM r JOIN heads USING (id) WHERE id = head),
+links AS (SELECT x.id AS a, y.id AS b FROM hr x JOIN hr y ON x.h = y.h AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.82 UNION ALL SELECT head, id FROM heads WHERE id <> head),
+{sql.components("links", "roots")}"""
+
+
+@query(_NEAR + " SELECT z.id AS doc_id, z.root AS root, count(*) AS links FROM roots z JOIN (SELECT a AS id FROM links UNION ALL SELECT b FROM links) e ON e.id = z.id GROUP BY z.id, z.root")
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(unit_table(spark, sf_dir), "shingles", "doc_id", 0.82, 64, 16)
+    sets = cut(unit_table(spark, sf_dir).select("doc_id", tx.shingle_hashes(5)("text").alias("shingles")))
+    return near_duplicates(sets, "shingles", "doc_id", 0.82, 64, 16)
 
 
-@query()
+_BEST_SQL = f"""{_UNITS}, {sql.run_rows("d2", "r", 5, True)}, e0 AS (SELECT item_id AS id, coalesce(text, '') AS t FROM eval_items), {sql.normalized("e0", "e1")}, {sql.units("e1", "e2")}, {sql.run_rows("e2", "q", 5, True)},
+rn AS (SELECT id, count(*) AS n FROM r GROUP BY id), qn AS (SELECT id, count(*) AS n FROM q GROUP BY id),
+o AS (SELECT r.id AS a, q.id AS b, count(*) AS o FROM r JOIN q ON r.h = q.h GROUP BY r.id, q.id),
+best AS (SELECT a AS id, max(o / (rn.n + qn.n - o)) AS best FROM o JOIN rn ON rn.id = a JOIN qn ON qn.id = b GROUP BY a)
+SELECT d2.id AS doc_id, coalesce(best, CASE WHEN len(w) = 0 AND EXISTS (SELECT 1 FROM e2 WHERE len(e2.w) = 0) THEN 1.0 ELSE 0.0 END) AS best FROM d2 LEFT JOIN best USING (id)"""
+
+
+@query(_BEST_SQL)
 def decontaminate_max_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "eval_items").select("item_id", tx.unit_profile(5)(tx.normalize_text(F.col("text"))).alias("p")).select("item_id", "p.shingles")
-    return max_similarity(unit_table(spark, sf_dir), items, "doc_id", "item_id", "shingles")
+    shingles = tx.shingle_hashes(5)("text").alias("shingles")
+    items = table(spark, sf_dir, "eval_items").select("item_id", tx.normalize_text(F.coalesce("text", F.lit(""))).alias("text")).select("item_id", shingles)
+    return max_similarity(cut(unit_table(spark, sf_dir).select("doc_id", shingles)), items, "doc_id", "item_id", "shingles")
 
 
 _SPACE = tx.SPACE
@@ -180,7 +227,18 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(lines_of(documents(spark, sf_dir), "doc_id", "text"), ["doc_id"])
 
 
-@query()
+_ARTICLE_LINES = rf"""
+WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, regexp_matches(line, '^=\s*[^=]+\s*=$') AS head FROM l),
+n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS article FROM h),
+c AS (SELECT doc_id, article, line_no, CASE WHEN head THEN trim(regexp_extract(line, '^=\s*([^=]+?)\s*=$', 1)) WHEN line LIKE '=%=' OR line = '=' THEN regexp_replace(line, '^[= ]+|[= ]+$', '', 'g') ELSE line END AS line FROM n),
+"""
+_ARTIFACT = "line"
+for _from, _to in ((r"\s*@-@\s*", "-"), *[x for _ in range(2) for x in [(r"([0-9])\s*@,@\s*([0-9])", r"\1,\2")]], (r"\s*@,@\s*", ", "), *[x for _ in range(2) for x in [(r"([0-9])\s*@\.@\s*([0-9])", r"\1.\2")]], (r"\s*@\.@\s*", ". ")):
+    _ARTIFACT = f"regexp_replace({_ARTIFACT}, '{_from}', '{_to}', 'g')"
+
+
+@query(_ARTICLE_LINES + rf"a AS (SELECT doc_id, article, line_no, regexp_replace(regexp_replace({_ARTIFACT}, '[{_SPACE}]+', ' ', 'g'), '^ +| +$', '', 'g') AS line FROM c) SELECT doc_id, article::BIGINT AS article, string_agg(line, ' ' ORDER BY line_no) AS text FROM a WHERE line <> '' GROUP BY doc_id, article")
 def article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(lines_of(documents(spark, sf_dir), "doc_id", "text"), ["doc_id"])
 
@@ -216,7 +274,10 @@ def split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.three_way(documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id").select("doc_id", "split")
 
 
-@query()
+_STORIES = rf"WITH d0 AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), {sql.compatible('d0', 'd1')}, told AS (SELECT id AS doc_id, regexp_replace(regexp_replace(t, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '\n[ \t]*\n+', chr(10), 'g') AS text FROM d1), "
+
+
+@query(_STORIES + _ORDER_SQL.replace("WITH", "").replace("FROM documents", "FROM told"))
 def split_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = documents(spark, sf_dir).select("doc_id", tx.canonical_story(F.coalesce("text", F.lit(""))).alias("text"))
     return splits.three_way(told, "text", "doc_id").select("doc_id", "split")
@@ -248,13 +309,11 @@ _TIERS = (
 t AS (SELECT *, (coalesce(sum(w) OVER (PARTITION BY cache_name ORDER BY coalesce(score, -1), span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + w / 2) / sum(w) OVER (PARTITION BY cache_name) AS m FROM e),
 tiered AS (SELECT span_id, cache_name, doc_id, score, n_tokens, w, {_TIER} AS tier FROM t UNION ALL SELECT span_id, cache_name, doc_id, score, n_tokens, 0, -1 FROM s WHERE n_tokens <= {SEQ_LEN})"""
 )
-_STRATA = (
-    _SPANS
-    + f""", e AS (SELECT *, n_tokens - {SEQ_LEN} AS w FROM s WHERE n_tokens > {SEQ_LEN}),
+_BALANCED = f""",
 r AS (SELECT *, ((row_number() OVER (PARTITION BY cache_name ORDER BY n_tokens, span_id) - 1) * 4 // count(*) OVER (PARTITION BY cache_name))::INT AS length_stratum FROM e),
-t AS (SELECT *, (coalesce(sum(w) OVER (PARTITION BY cache_name, length_stratum ORDER BY coalesce(score, -1), span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + w / 2) / sum(w) OVER (PARTITION BY cache_name, length_stratum) AS m FROM r),
-balanced AS (SELECT *, {_TIER} AS tier FROM t)"""
-)
+t2 AS (SELECT *, (coalesce(sum(w) OVER (PARTITION BY cache_name, length_stratum ORDER BY coalesce(score, -1), span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + w / 2) / sum(w) OVER (PARTITION BY cache_name, length_stratum) AS m FROM r),
+balanced AS (SELECT *, {_TIER} AS tier FROM t2)"""
+_STRATA = _SPANS + f", e AS (SELECT *, n_tokens - {SEQ_LEN} AS w FROM s WHERE n_tokens > {SEQ_LEN})" + _BALANCED
 
 
 def span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +355,18 @@ def tier_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("length_stratum", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), *[F.round(f"tier{k}_{x}", 8).alias(f"tier{k}_{x}") for x in ("documents", "windows") for k in range(3)])
 
 
-@query()
+@query(
+    _TIERS
+    + _BALANCED
+    + """, p AS (SELECT span_id, 'current_tier' AS policy, tier FROM tiered UNION ALL SELECT span_id, 'candidate_tier', tier FROM balanced)
+SELECT cache_name, policy, p.tier AS tier, count(*) AS documents, sum(w)::BIGINT AS valid_windows, round(sum(w) / sum(sum(w)) OVER (PARTITION BY cache_name, policy), 8) AS window_fraction, round(avg(strlen(coalesce(text, ''))), 6) AS mean_utf8_bytes, round(avg(coalesce(score, 0)), 6) AS mean_score
+FROM p JOIN e USING (span_id) JOIN documents ON documents.doc_id = e.doc_id WHERE p.tier >= 0 GROUP BY cache_name, policy, p.tier"""
+)
 def length_balanced_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("utf8_bytes"))
-    one = tiered(spark, sf_dir).filter("cache_name = 'vocab4k_len1024'").select(F.col("span_id").alias("ord"), "doc_id", "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"), "tier")
-    return audit.length_balanced_audit(one.join(sizes, "doc_id"), SEQ_LEN, 1, 5)["tiers"]
+    rows = tiered(spark, sf_dir).select(F.col("span_id").alias("ord"), "cache_name", "doc_id", "n_tokens", "score", "tier").join(sizes, "doc_id")
+    found = audit.length_balanced_audit(rows, SEQ_LEN, 1, 5, by=("cache_name",))["tiers"]
+    return found.select("cache_name", "policy", "tier", "documents", "valid_windows", *[F.round(c, d).alias(c) for c, d in (("window_fraction", 8), ("mean_utf8_bytes", 6), ("mean_score", 6))])
 
 
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY CASE WHEN isnan(quality_score) THEN -1 ELSE coalesce(quality_score, -1) END, doc_id) AS a, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) AS b FROM documents) SELECT round(corr(a, b), 8) AS rank_correlation FROM r")
@@ -309,11 +375,10 @@ def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.round("rank_correlation", 8).alias("rank_correlation"))
 
 
-@query(_TIERS + ", k AS (SELECT max(CASE WHEN tier = 0 THEN score END) AS c0, max(CASE WHEN tier = 1 THEN score END) AS c1 FROM tiered WHERE cache_name = 'vocab4k_len1024') SELECT count(*) FILTER (quality_score <= c0) AS low, count(*) FILTER (quality_score > c0 AND quality_score <= c1) AS medium, count(*) FILTER (quality_score > c1) AS high FROM prepared_docs, k WHERE NOT isnan(quality_score)")
+@query(_TIERS + ", k AS (SELECT cache_name, max(CASE WHEN tier = 0 THEN score END) AS c0, max(CASE WHEN tier = 1 THEN score END) AS c1 FROM tiered GROUP BY cache_name) SELECT cache_name, count(*) FILTER (quality_score <= c0) AS low, count(*) FILTER (quality_score > c0 AND quality_score <= c1) AS medium, count(*) FILTER (quality_score > c1) AS high FROM prepared_docs, k WHERE NOT isnan(quality_score) GROUP BY cache_name")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reference = tiered(spark, sf_dir).filter("cache_name = 'vocab4k_len1024'")
     other = table(spark, sf_dir, "prepared_docs").filter(~F.isnan("quality_score"))
-    return reports.score_bands(reference, other.withColumnRenamed("quality_score", "score"), "tier", "score")
+    return reports.score_bands(tiered(spark, sf_dir), other.withColumnRenamed("quality_score", "score"), "tier", "score", "cache_name")
 
 
 @query(
@@ -353,9 +418,10 @@ def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.sample_windows(tiered(spark, sf_dir).drop("w"), "span_id", "n_tokens", "tier", "span_id", 5000, SEQ_LEN, (0.2, 0.3, 0.5), 7)
 
 
-@query("SELECT draw, floor(u * (1000000 - 256))::BIGINT AS window_start FROM (SELECT draw, " + _u("start") + " AS u FROM (SELECT unnest(range(0, 5000)) AS draw))")
+@query(_SPANS + ", z AS (SELECT sum(n_tokens) AS total FROM s) SELECT draw, floor(u * (total - 256))::BIGINT AS window_start FROM (SELECT draw, " + _u("start") + " AS u FROM (SELECT unnest(range(0, 5000)) AS draw)), z")
 def sampled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.stream_windows(spark, 1_000_000, SEQ_LEN, 5000, 7)
+    total = span_table(spark, sf_dir).agg(F.sum("n_tokens")).first()[0]
+    return spans.stream_windows(spark, total, SEQ_LEN, 5000, 7)
 
 
 @query("SELECT doc_id, source, draw FROM (SELECT doc_id, source, sha256('11' || chr(0) || doc_id) AS draw, row_number() OVER (PARTITION BY source ORDER BY sha256('11' || chr(0) || doc_id), doc_id) AS k FROM documents) WHERE k <= 3")
@@ -372,13 +438,16 @@ def quality_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_weights(labels, "label").withColumn("weight", F.round("weight", 8))
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, label) of all labelled documents with text: the last usable label, 1 for 2 and 0 for the others."""
+    labels = reports.clean_labels(table(spark, sf_dir, "quality_labels"), "doc_id", "human_label", ["labelled_at"])
+    return cut(documents(spark, sf_dir).filter(F.trim("text") != "").join(labels, "doc_id").select("doc_id", "text", (F.col("label") == 2).cast("int").alias("label")))
+
+
 @query()
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = reports.clean_labels(table(spark, sf_dir, "quality_labels"), "doc_id", "human_label", ["labelled_at"])
-    rows = cut(documents(spark, sf_dir).filter(F.trim("text") != "").join(labels, "doc_id").select("doc_id", "text", (F.col("label") == 2).cast("int").alias("label")))
-    few = rows.orderBy(F.sha2(F.col("doc_id").cast("string"), 256)).limit(1500).select("text", "label")
-    model, _ = train_classifier(few, 512, 30)
-    return classifier_metrics(model.score(rows, "text"), "label", "quality_score", 0.5)
+    """Metrics over the held-out quarter of all labelled documents, which the model has not seen."""
+    return spark.createDataFrame([train_classifier(labelled(spark, sf_dir), 512, 30)[1]], "train_examples bigint, validation_examples bigint, accuracy double, precision double, recall double")
 
 
 _LOSS = rf"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS w FROM documents WHERE text IS NOT NULL),
@@ -410,25 +479,27 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
-    rows = table(spark, sf_dir, "prepared_docs").filter(F.trim("text") != "").groupBy("doc_id").agg(F.max("text").alias("text"))
-    merges = bpe.train(rows.filter(F.col("doc_id").startswith("train")), "text", 320)
+    """(doc_id, split, text, tokens) of the latest row with text of each id, and the merges of the train split."""
+    rows = table(spark, sf_dir, "prepared_docs").filter(F.trim("text") != "").groupBy("doc_id").agg(F.max(F.struct("loaded_at", "text")).alias("last"))
+    rows = rows.select("doc_id", F.substring_index("doc_id", "-", 1).alias("split"), F.col("last.text").alias("text"))
+    merges = bpe.train(rows.filter("split = 'train'"), "text", 320)
     return cut(bpe.encode(rows, "text", merges, "tokens", add_eos=True)), merges
 
 
 @query()
 def held_out_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for the validation and one for the test split."""
     rows, merges = token_table(spark, sf_dir)
-    train, held = rows.filter(F.col("doc_id").startswith("train")), rows.filter(F.col("doc_id").startswith("validation"))
-    return likelihood.evaluate(held, "doc_id", "text", "tokens", likelihood.fit_ngrams(train, "tokens", 258 + len(merges)), SEQ_LEN, STRIDE)
+    model = likelihood.fit_ngrams(rows.filter("split = 'train'"), "tokens", 258 + len(merges))
+    return likelihood.evaluate(rows.filter("split in ('validation', 'test')"), "doc_id", "text", "tokens", model, SEQ_LEN, STRIDE, by=("split",))
 
 
 @query()
 def held_out_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, merges = token_table(spark, sf_dir)
-    train, held = rows.filter(F.col("doc_id").startswith("train")), rows.filter(F.col("doc_id").startswith("validation"))
-    model = likelihood.fit_ngrams(train, "tokens", 258 + len(merges))
+    model = likelihood.fit_ngrams(rows.filter("split = 'train'"), "tokens", 258 + len(merges))
     flat = likelihood.NgramScorer(model.uni, {}, model.size)
-    return likelihood.evaluate_ensemble(held, "doc_id", "tokens", {"bigram": model, "unigram": flat}, SEQ_LEN, STRIDE)
+    return likelihood.evaluate_ensemble(rows.filter("split in ('validation', 'test')"), "doc_id", "tokens", {"bigram": model, "unigram": flat}, SEQ_LEN, STRIDE, by=("split",))
 
 
 _FALL = "{low} + 0.5 * ({rate} - {low}) * (1 + cos(pi() * least(1.0, greatest(0.0, {p}))))"
@@ -513,9 +584,13 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(turns.alias("turns")).select("user_id", tx.chat_prompt("Be brief.", F.col("turns")).alias("prompt"))
 
 
-@query()
+_HASHED = """WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}') AS h FROM documents)
+SELECT count(*) AS rows, sha256(""" + " || ':' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8)) + ") AS content FROM h"
+
+
+@query(_HASHED)
 def corpus_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_hash(documents(spark, sf_dir))
+    return content_hash(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

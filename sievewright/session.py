@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows of a materialised table, counted once."""
+    found = getattr(df, "_sievewright_rows", None)
+    if found is None:
+        found = df.count()
+        df._sievewright_rows = found
+    return found
+
+
 def offer_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, whatever folder the job was started in."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

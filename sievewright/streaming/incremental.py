@@ -26,7 +26,7 @@ def delivery_counts(stream: DataFrame, time_col: str, source_col: str, window: s
 
 def masked(stream: DataFrame, text_col: str) -> DataFrame:
     """Normalised and masked text with counts; stateless, so the same function as in batch."""
-    return stream.withColumn("_m", tx.mask_pii(tx.normalize_text(F.col(text_col)))).withColumn(text_col, F.col("_m.text")).withColumn("pii_replacements", tx.pii_map(F.col("_m"))).drop("_m")
+    return tx.with_masked(stream.withColumn(text_col, tx.normalize_text(F.col(text_col))), text_col, text_col).withColumn("pii_replacements", tx.pii_map()).drop(*tx.PII_KEYS)
 
 
 def metric_stream(spark: SparkSession, path: str) -> DataFrame:

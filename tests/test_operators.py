@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
 from sievewright.operators import bpe, likelihood, reports, spans, splits
-from sievewright.operators.classifier import QualityClassifier, check_examples, class_weights, classifier_metrics
+from sievewright.operators.classifier import QualityClassifier, check_examples, class_weights, classifier_metrics, features, train_classifier
 from sievewright.operators.components import connected_components
 from sievewright.operators.decontam import decontaminate
 from sievewright.operators.dedup import exact_dedup, near_dedup, near_duplicates, signature
@@ -17,6 +18,22 @@ def units(spark, rows, names="doc_id long, text string"):
     return df.withColumn("shingles", F.col("profile.shingles"))
 
 
+@pytest.mark.parametrize(("cell", "rows"), [(4096, 10**6), (3, 10**6), (3, 0)])
+def test_pairs_of_hot_keys(spark, cell, rows, monkeypatch):
+    """A key of 40 rows, small keys and rows of their own: cells and salts give each pair once."""
+    from sievewright.operators import joins
+
+    monkeypatch.setattr(joins.met, "__defaults__", ("inner", rows))
+    data = [(i, 7, i % 5) for i in range(40)] + [(i, 100 + i // 2, 0) for i in range(50, 60)] + [(i, i + 1000, 0) for i in range(60, 70)] + [(3, 7, 3), (70, None, 0), (71, None, 0)]
+    df = spark.createDataFrame(data, "id long, k long, c int").repartition(5)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40)} | {(i, i + 1) for i in range(50, 60, 2)}
+    got = [(r.a, r.b) for r in joins.bucket_pairs(df, "k", "id", cell=cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    alike = {(r.a, r.b) for r in joins.bucket_pairs(df, "k", "id", ("c",), lambda x, y: x["c"] == y["c"], cell).collect()}
+    assert alike == {(i, j) for i, j in want if i >= 50 or i % 5 == j % 5}
+    assert joins.bucket_pairs(df.limit(0), "k", "id").count() == 0
+
+
 def test_prefix_sums_and_ranks(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.randint(0, 3), rnd.randint(0, 9), rnd.choice([None, 1, 5])) for i in range(300)]
@@ -102,6 +119,18 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate(train, blank, threshold=0.8).collect()) == [1, 2]
 
 
+def test_max_similarity_by_salted_index(spark):
+    from sievewright.operators.decontam import max_similarity
+
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9)))
+    train, held = units(spark, [(i, text()) for i in range(60)] + [(60, ""), (61, None)]), units(spark, [(i, text()) for i in range(12)] + [(12, "")], "item_id long, text string")
+    sets, other = {r.doc_id: set(r.shingles) for r in train.collect()}, [set(r.shingles) for r in held.collect()]
+    want = {i: max(len(s & o) / len(s | o) if s | o else 1.0 for o in other) for i, s in sets.items()}
+    for rows in (10**6, 0):
+        assert {r.doc_id: r.best for r in max_similarity(train, held, "doc_id", "item_id", "shingles", rows=rows).collect()} == want
+
+
 def test_three_way_split(spark):
     rows = [(i, f"story {i % 40}") for i in range(60)] + [(99, "")]
     df = spark.createDataFrame(rows, "o long, t string")
@@ -176,6 +205,9 @@ def test_sampled_windows_stay_inside(spark):
     assert len(rows) == 3000 and all(0 <= r.window_start < 10 * r.o - 16 for r in rows)
     share = [sum(r.tier == k for r in rows) / 3000 for k in range(3)]
     assert abs(share[0] - 0.2) < 0.03 and abs(share[2] - 0.5) < 0.03
+    with pytest.raises(ValueError, match="tier 1"):
+        spans.sample_windows(df.filter("tier <> 1"), "o", "n", "tier", "o", 10, 16, (0.2, 0.3, 0.5), 1)
+    assert {r.tier for r in spans.sample_windows(df.filter("tier <> 1"), "o", "n", "tier", "o", 50, 16, (0.5, 0.0, 0.5), 1).collect()} == {0, 2}
     assert spans.draw_counts(spark.createDataFrame(rows)).count() == 3
 
 
@@ -224,11 +256,17 @@ def test_classifier_learns(spark):
     df = spark.createDataFrame([(good[0], 1), (bad[0], 0), (None, 0)], "text string, label int")
     scored = again.score(df, "text").collect()
     assert abs(scored[0].quality_score - model.score_texts([good[0]])[0]) < 1e-12 and scored[2].quality_score is None
+    odd = ["", "x", "aaaa aaaa", "Ünï http://www.a", "12 ab!?"]
+    each = np.concatenate([features([t], 64) for t in odd])
+    assert np.allclose(features(odd, 64), each) and each[2, 7] == 0.2 and each[3, 6] == 0.2 and (each[0, :8] == 0).all()
     m = classifier_metrics(again.score(df, "text").na.drop(), "label", "quality_score", 0.5).first()
     assert (m.examples, m.accuracy, m.precision, m.recall) == (2, 1.0, 1.0, 1.0)
     assert {r.label: r.weight for r in class_weights(df, "label").collect()} == {0: 0.75, 1: 1.5}
     with pytest.raises(ValueError):
         check_examples(df)
+    labelled = spark.createDataFrame([(t, 1) for t in good] + [(t, 0) for t in bad], "text string, label int")
+    _, report = train_classifier(labelled, 64, 60, max_examples=12)
+    assert report == {"train_examples": 12, "validation_examples": 10, "accuracy": 1.0, "precision": 1.0, "recall": 1.0}
 
 
 def test_scaling_and_schedules(spark):
@@ -287,9 +325,13 @@ def test_long_pieces_merge_alike():
     counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))): 1 for _ in range(60)}
     merges = bpe.learn_merges(counts, 258 + 30)
     rank = {p: i for i, p in enumerate(merges)}
-    for n in (2, 30, 47):
+    for n in (1, 2, 30, 47):
         text = "".join(rnd.choice("abc") for _ in range(n))
-        assert bpe.merge_long(list(text.encode()), rank) == bpe.PieceEncoder(merges).piece(text)
+        ids = list(text.encode())
+        for i, pair in enumerate(merges):
+            ids = bpe.apply_merge(ids, pair, 258 + i)
+        assert bpe.merge_ranked(list(text.encode()), rank) == bpe.PieceEncoder(merges).piece(text) == ids
+    assert bpe.apply_merge([1, 1, 1, 2, 1, 1], (1, 1), 9) == [9, 1, 2, 9] and bpe.apply_merge([], (1, 1), 9) == []
     long = "".join(rnd.choice("abc") for _ in range(20_000))
     assert bpe.decode(bpe.PieceEncoder(merges).piece(long), merges) == long
 

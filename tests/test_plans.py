@@ -135,6 +135,8 @@ def test_length_balanced_audit(spark):
     ids = [r.doc_id for r in tables["sample"].collect()]
     sheet = spark.createDataFrame([(d, str(i % 3)) for i, d in enumerate(ids)], "doc_id string, human_label string")
     assert sum(r.labeled for r in audit.reviewed(tables, sheet).collect()) == 48
+    with pytest.raises(Exception, match="do not fit"):
+        audit.length_balanced_audit(df.withColumn("valid_windows", F.lit(1).cast("long")), 10, 2, 3)
     with pytest.raises(Exception, match="too few"):
         audit.length_balanced_audit(df, 10, 50, 3)["sample"].collect()
 

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright import queries as q
 
@@ -46,6 +47,6 @@ def test_runs(spark, sf, name):
 def test_vocabulary_of_all_training_texts(spark, tmp_path):
     """More than 200,000 characters of other splits stand before the training texts, whose last has pieces of its own."""
     rows = [(f"test-source-{i}-x", "zq " * 10_000) for i in range(8)] + [(f"train-source-{i}-x", "abab " * 10_000) for i in range(8)] + [("train-source-9-x", "kw " * 20_000)]
-    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(str(tmp_path / "prepared_docs.parquet"))
+    spark.createDataFrame(rows, "doc_id string, text string").withColumn("loaded_at", F.lit(1)).write.parquet(str(tmp_path / "prepared_docs.parquet"))
     _, merges = q.token_table(spark, str(tmp_path))
     assert (ord("a"), ord("b")) in merges and (ord("k"), ord("w")) in merges and (ord("z"), ord("q")) not in merges

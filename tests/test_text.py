@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -41,12 +42,28 @@ def test_runs_stay_inside_documents():
 
 def test_normalize_and_mask(spark):
     raw = "Mail a.b@c.org, call +1 (212) 555-0147\x00or 300.1.2.3 and 10.0.0.1 \x1c ﬁn"
-    row = spark.createDataFrame([(raw,), (None,), ("",)], "t string").select(tx.mask_pii(tx.normalize_text(F.col("t"))).alias("m")).select("m.*").collect()
+    row = tx.with_masked(spark.createDataFrame([(raw,), (None,), ("",)], "t string").select(tx.normalize_text(F.col("t")).alias("n")), "n").collect()
     assert row[0].text == "Mail |||EMAIL_ADDRESS|||, call |||PHONE_NUMBER||| or 300.1.2.3 and |||IP_ADDRESS||| fin"
     assert (row[0].email, row[0].phone, row[0].ipv4) == (1, 1, 1)
     assert row[1].text is None and row[2].text == "" and row[2].email == 0
 
 
+def test_masks_equal_one_text_at_a_time(spark):
+    """Native expressions against Python's patterns: shared borders, octets, digits and letters around items, other scripts."""
+    rnd = random.Random(12)
+    parts = ["a.b@c.org", "x@y", "é", "ß.z@q.com", "555-123-4567", "(212) 555-0147", "+1 ", "1", "2125550147", "10.0.0.1", "300.1.2.3", "1.2.3.4.5.6.7.8", "007.1.1.255", ".", " ", ", ", "-", "x", "_", "漢", "9", "@", "(", ")"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in tx.with_masked(df, "t", "m").collect():
+        assert (r.m, r.email, r.phone, r.ipv4) == tx.mask_value(texts[r.i]), texts[r.i]
+
+
+def test_only_other_scripts_leave_the_plan(spark):
+    rows = ["plain", "ﬁ", None, "", "é"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r.n for r in df.select(tx.nfkc(F.col("t")).alias("n")).collect()] == ["plain", "fi", None, "", "é"]
+
+
 def test_drop_reasons(spark):
     rows = [("a b c",), ("1 2 3 4 5 6 7 8",), ("no no no no no no",), ("one two three four five six",), ("",)]
     df = spark.createDataFrame(rows, "t string").withColumn("u", tx.unit_profile(3)("t"))
@@ -59,6 +76,8 @@ def test_profiles(spark):
     for t, r in zip(texts, rows):
         w = normalized_words(t)
         assert (r.p.n_units, r.p.n_distinct, len(r.p.shingles)) == (len(w), len(set(w)), len(r.g))
+    parts = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.unit_counts()("t").alias("c"), tx.shingle_hashes(3)("t").alias("s")).collect()
+    assert [(*r.c, r.s) for r in parts] == [(*r.p,) for r in rows]
     known = {}
     for r in rows:
         for h in r.p.shingles:
