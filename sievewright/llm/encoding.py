@@ -188,9 +188,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def parsed(vocabulary: bytes) -> Encoder:
+    """The encoder of the content of a vocabulary file; a worker makes it once."""
+    return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())})
+
+
 def load_encoder(path: str) -> Encoder:
-    with open(path, "rb") as lines:
-        return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    with open(path, "rb") as f:
+        return parsed(f.read())
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -222,10 +227,12 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, result: str, shape: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
     carried = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
+    with open(path, "rb") as f:  # a fixed file of under a megabyte, which the workers get from the driver
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     def kernel(batch: pa.RecordBatch):
         texts = column(batch, text_col)
-        encoder = load_encoder(path)
+        encoder = parsed(vocabulary.value)
         for low, high in _batches(texts):
             flat, offsets = encoder.encode_batch(texts[low:high])
             yield {**{c: values(batch, c).slice(low, high - low) for c in carried}, **shape(flat, offsets)}

@@ -97,6 +97,11 @@ def bounded(df: DataFrame, keys: list[str], other: DataFrame, spread: str, rows:
     return other.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+def own_runs(items: DataFrame, run: int = RUN) -> DataFrame:
+    """(run, _item): the runs of rows (_item, _text) that one item alone has."""
+    return runs(items, "_item", "_text", run).distinct().groupBy("run").agg(F.count("*").alias("n"), F.min("_item").alias("_item")).filter("n = 1").select("run", "_item")
+
+
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", k: int = GRAM, run: int = RUN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, item): rows that hold at least one run of `run` units that this item has and no other.
 
@@ -105,7 +110,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     empty result. The items' fingerprints and runs are broadcast only up to `broadcast_rows`, counted first.
     """
     items = items.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text")).filter(F.col("_item").isNotNull())
-    item_runs = cut(runs(items, "_item", "_text", run).distinct().groupBy("run").agg(F.count("*").alias("n"), F.min("_item").alias("_item")).filter("n = 1").select("run", "_item"))
+    item_runs = cut(own_runs(items, run))
     item_fps = cut(fingerprints(items, "_item", "_text", k, run).select("fp").distinct())
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = bounded(item_fps, ["fp"], fingerprints(docs, "_id", "_text", k, run), "_id", broadcast_rows)
@@ -115,8 +120,10 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     return bounded(item_runs, ["run"], covered, "_id", broadcast_rows).select(F.col("_id").alias(id_col), F.col("_item").alias(item_col)).distinct()
 
 
-def leak_report(found: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """One row: the documents to drop, the items that leaked, and the pairs."""
-    return found.agg(F.count_distinct(id_col).alias("decontaminated_documents_dropped"), F.count_distinct(item_col).alias("leaked_items"), F.count("*").alias("pairs"))
-
-
+def leak_report(found: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+    """One row: the documents to drop, the items that leaked, the pairs, and the items without a run of their own (short
+    ones and those that only repeat others), which can never be reported as leaked."""
+    rows = items.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text")).filter(F.col("_item").isNotNull())
+    able = own_runs(rows, run).select("_item").distinct()
+    blind = rows.select("_item").distinct().join(able, "_item", "left_anti").agg(F.count("*").alias("items_without_own_run"))
+    return found.agg(F.count_distinct(id_col).alias("decontaminated_documents_dropped"), F.count_distinct(item_col).alias("leaked_items"), F.count("*").alias("pairs")).join(blind)

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.encoding import count_tokens
-from sievewright.session import cut
+from sievewright.session import cut, rows_of
 
-RANGES = 1024
+#: Ranges of an order: at least MIN_RANGES, and one for every ROWS_PER_RANGE rows, so no window task grows with the data.
+MIN_RANGES, ROWS_PER_RANGE = 1024, 50_000
 SEED = 29
 BROADCAST_ROWS = 100_000
 
@@ -36,7 +37,8 @@ def plan(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Dat
     """(mix_name, source, target_share, max_repeats, source_tokens, weight, budget, passes) of every target row.
 
     weight: the share among the mix's sources that have tokens. budget: the largest total at which all of these
-    can hold their weight, or the given one. passes: how often a source is gone through at most.
+    can hold their weight, or the given one. passes: how often a source is gone through at most; where a given budget
+    is more than that, some source ends early and the others may have to fill the rest.
     """
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     rows = targets.filter(F.col("mix_name").isNotNull() & F.col("source").isNotNull()).select("mix_name", canonical_source(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats"))
@@ -46,7 +48,9 @@ def plan(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Dat
     rows = rows.withColumn("weight", F.when(has, F.col("target_share") / F.sum(F.when(has, F.col("target_share"))).over(mix)))
     most = F.floor(F.min(F.col("max_repeats") * F.col("source_tokens") / F.col("weight")).over(mix))
     rows = rows.withColumn("budget", F.lit(budget).cast("bigint") if budget is not None else most)
-    passes = F.least(F.col("max_repeats"), F.ceil(F.col("weight") * F.col("budget") / F.col("source_tokens")).cast("int") + 1)
+    fits = F.min(F.col("max_repeats") * F.col("source_tokens") / F.col("weight")).over(mix) >= F.col("budget")
+    wanted = F.when(fits, F.col("weight")).otherwise(1.0) * F.col("budget") / F.col("source_tokens")
+    passes = F.least(F.col("max_repeats").cast("bigint"), F.ceil(wanted) + 1).cast("int")
     return rows.withColumn("passes", F.when(has, passes).otherwise(0))
 
 
@@ -56,22 +60,24 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     copies: (mix_name, source, id, repeat, n_tokens, finish, total_tokens), repeat from 0; total_tokens is the running
     total of the mix. shares: (mix_name, source, target_share, max_repeats, available_tokens, budget, tokens, copies,
     repeats, actual_share) of every target row; sources that documents lack have zeros. Documents without tokens or
-    source are never chosen; spelling variants of a source are one; extra columns are ignored; empty tables on
+    source are never chosen. A budget beyond what all sources can give in their shares is filled by those that have
+    more, up to their repeats; actual_share tells. Spelling variants of a source are one; extra columns are ignored; empty tables on
     either side give empty copies.
     """
     wanted = cut(targets.select(canonical_source(F.col("source")).alias("source")).filter("source is not null").distinct())
     docs = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), canonical_source(F.col(source_col)).alias("source"))
     docs = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "source", "left_semi")
     sized = cut(count_tokens(docs, "_id", "_text", path, keep=("source",)).filter("n_tokens > 0"))
+    ranges = max(MIN_RANGES, 1 << (rows_of(sized) // ROWS_PER_RANGE).bit_length())
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id"), 1)
-    ranked = sized.withColumn("_key", order).withColumn("_range", F.shiftright(F.col("_key"), 63 - 10).cast("int"))
+    ranked = sized.withColumn("_key", order).withColumn("_range", F.shiftright(F.col("_key"), 63 - (ranges.bit_length() - 1)).cast("int"))
     queued = running_sum(ranked, ["source"], ["_key", "_id"], "_range", "n_tokens", "_upto")
     planned = cut(plan(sized, targets, budget))
     plan_rows = planned.filter("passes > 0").select("mix_name", "source", "weight", "budget", "passes", "source_tokens")
     copies = queued.join(F.broadcast(plan_rows) if planned.count() <= BROADCAST_ROWS else plan_rows, "source")
     copies = copies.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     copies = copies.withColumn("finish", (F.col("repeat") * F.col("source_tokens") + F.col("_upto")) / F.col("weight"))
-    copies = copies.withColumn("_slot", F.floor(F.col("finish") / F.greatest(F.col("budget"), F.lit(1)) * RANGES).cast("int")).filter(F.col("_slot") <= 2 * RANGES)
+    copies = copies.withColumn("_slot", F.floor(F.col("finish") / F.greatest(F.col("budget"), F.lit(1)) * ranges))
     taken = running_sum(copies.select("mix_name", "source", "_id", "repeat", "n_tokens", "finish", "budget", "_slot"), ["mix_name"], ["finish", "source", "_id", "repeat"], "_slot", "n_tokens", "total_tokens").filter(F.col("total_tokens") <= F.col("budget"))
     chosen = taken.select("mix_name", "source", F.col("_id").alias(id_col), "repeat", "n_tokens", "finish", "total_tokens")
     sums = chosen.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("copies"), (F.max("repeat") + 1).alias("repeats"))

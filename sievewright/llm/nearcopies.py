@@ -20,10 +20,10 @@ from sievewright.functions.golay import LENGTH, nearby_indices
 from sievewright.functions.sketch import minima
 from sievewright.functions.units import distinct_by_document, mix64, run_hashes, sequence_hashes, unit_blocks
 from sievewright.llm.arrow import column, list_column, map_batches, signed, values
+from sievewright.operators.components import connected_components
+from sievewright.operators.joins import CELL_ROWS, bucket_pairs, met
 from sievewright.session import cut
 
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -61,25 +61,16 @@ def _nibbles(cells: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(parts, axis=2)
 
 
-def content_hashes(df: DataFrame, s: Settings) -> DataFrame:
-    """(id, h1, h2, n_words) of rows with enough units; h1, h2 are equal for equal sequences of units."""
-
-    def kernel(batch: pa.RecordBatch):
-        texts, ids = column(batch, "_text"), values(batch, "_id")
-        for low, _, units in unit_blocks(texts):
-            h1, h2 = sequence_hashes(units)
-            keep = np.flatnonzero(units.counts >= s.min_words)
-            yield {"_id": ids.take(pa.array(keep + low)), "h1": signed(h1[keep]), "h2": signed(h2[keep]), "n_words": units.counts[keep]}
-
-    return map_batches(df, kernel, f"_id {_kind(df)}, h1 bigint, h2 bigint, n_words bigint")
-
-
 def _kind(df: DataFrame) -> str:
     return df.schema["_id"].dataType.simpleString()
 
 
-def golay_keys(df: DataFrame, s: Settings) -> DataFrame:
-    """(id, check, keys): by row the keys of all tables and 16 cells of the run sketch."""
+def prints(df: DataFrame, s: Settings) -> DataFrame:
+    """(id, h1, h2, check, anchors, words, s0..s3) of rows with enough units, from one reading of the texts.
+
+    h1, h2 are equal for equal sequences of units; anchors and words have an anchor and a 23-bit segment for each
+    table; check and s0..s3 have 16 and 64 cells of the run sketch.
+    """
     anchors, bins, shifts = _choices(s)
 
     def kernel(batch: pa.RecordBatch):
@@ -87,39 +78,47 @@ def golay_keys(df: DataFrame, s: Settings) -> DataFrame:
         for low, high, units in unit_blocks(texts):
             n = high - low
             keep = np.flatnonzero(units.counts >= s.min_words)
+            h1, h2 = sequence_hashes(units)
             runs, at = run_hashes(units, s.anchor_runs)
             anchor = minima(runs, units.doc[at], n, s.bins, 2)[keep]
             least = minima(units.hashes, units.doc, n, s.bins, 1)[keep]
             grams, at = run_hashes(units, s.k)
             check = _nibbles(minima(grams, units.doc[at], n, 16, 3)[keep])[:, 0]
-            found = []
+            marks = _nibbles(minima(grams, units.doc[at], n, 64, 4)[keep])
+            hashed, words = np.empty((len(keep), s.tables), np.uint64), np.empty((len(keep), s.tables), np.int32)
             for t in range(s.tables):
                 bits = (least[:, bins[t]] >> shifts[t]) & np.uint64(1)
-                words = (bits.astype(np.int64) << np.arange(LENGTH)).sum(axis=1)
-                mixed = np.full(len(keep), t, dtype=np.uint64)
+                words[:, t] = (bits.astype(np.int64) << np.arange(LENGTH)).sum(axis=1)
+                mixed = np.full(len(keep), t + 1, dtype=np.uint64)
                 for b in anchors[t]:
                     mixed = mix64(mixed + anchor[:, b])
-                index = nearby_indices(words)
-                found.append(np.where(index >= 0, (mix64(mixed[:, None] + index.astype(np.uint64)) >> np.uint64(33)).astype(np.int64), -1))
-            keys = np.concatenate(found, axis=1) if found else np.zeros((len(keep), 0), np.int64)
-            counts = (keys >= 0).sum(axis=1)
-            yield {"_id": ids.take(pa.array(keep + low)), "check": signed(check), "keys": list_column(keys[keys >= 0].astype(np.int32), np.concatenate(([0], np.cumsum(counts))), pa.int32())}
+                hashed[:, t] = mixed
+            offsets = np.arange(len(keep) + 1) * s.tables
+            yield {
+                "_id": ids.take(pa.array(keep + low)),
+                "h1": signed(h1[keep]),
+                "h2": signed(h2[keep]),
+                "check": signed(check),
+                "anchors": list_column(signed(hashed).ravel(), offsets, pa.int64()),
+                "words": list_column(words.ravel(), offsets, pa.int32()),
+                **{f"s{i}": signed(np.ascontiguousarray(marks[:, i])) for i in range(4)},
+            }
 
-    return map_batches(df, kernel, f"_id {_kind(df)}, check bigint, keys array<int>")
+    return map_batches(df, kernel, f"_id {_kind(df)}, h1 bigint, h2 bigint, check bigint, anchors array<bigint>, words array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def sketches(df: DataFrame, s: Settings) -> DataFrame:
-    """(id, s0..s3): 64 cells of the run sketch."""
+def golay_keys(df: DataFrame) -> DataFrame:
+    """(id, check, keys): of rows (id, check, anchor, word) the 64-bit keys of the anchor with each codeword near the segment."""
 
     def kernel(batch: pa.RecordBatch):
-        texts, ids = column(batch, "_text"), values(batch, "_id")
-        for low, high, units in unit_blocks(texts):
-            keep = np.flatnonzero(units.counts >= s.min_words)
-            grams, at = run_hashes(units, s.k)
-            words = _nibbles(minima(grams, units.doc[at], high - low, 64, 4)[keep])
-            yield {"_id": ids.take(pa.array(keep + low)), **{f"s{i}": signed(np.ascontiguousarray(words[:, i])) for i in range(4)}}
+        words = values(batch, "word").to_numpy(zero_copy_only=False).astype(np.int64)
+        anchor = values(batch, "anchor").to_numpy(zero_copy_only=False).view(np.uint64)
+        index = nearby_indices(words)
+        keys = mix64(anchor[:, None] * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) + np.uint64(1))
+        offsets = np.concatenate(([0], np.cumsum((index >= 0).sum(axis=1))))
+        yield {"_id": values(batch, "_id"), "check": values(batch, "check"), "keys": list_column(signed(keys[index >= 0]), offsets, pa.int64())}
 
-    return map_batches(df, kernel, f"_id {_kind(df)}, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return map_batches(df.select("_id", "check", "anchor", "word"), kernel, f"_id {_kind(df)}, check bigint, keys array<bigint>")
 
 
 def run_sets(df: DataFrame, s: Settings) -> DataFrame:
@@ -143,83 +142,93 @@ def equal_cells(a, b):
     return F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def only(df: DataFrame, ids: DataFrame, how: str = "left_semi", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of `df` whose _id is (or, left_anti, is not) in the materialised `ids`: broadcast if it is small, counted first."""
-    return df.join(F.broadcast(ids) if ids.count() <= rows else ids, "_id", how)
-
+def classes(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (id, rep, n), classes (rep, n)) of the classes of at least two rows with equal (h1, h2); rep is the least
+    id. Classes are counted with pre-aggregation, so one of a third of all rows is no hot task. Both are materialised."""
+    grouped = cut(hashed.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    members = cut(met(hashed.select("_id", "h1", "h2"), grouped, ["h1", "h2"], "_id").select("_id", "rep", "n"))
+    return members, grouped.select("rep", "n")
 
-def classes(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, rep, n): members of the classes of at least two equal texts; rep is the least id. Materialised."""
-    hashed = cut(content_hashes(docs, s))
-    groups = hashed.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    return cut(hashed.join(groups, ["h1", "h2"]).select("_id", "rep", "n"))
 
+def without_copies(df: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of `df` that are alone or the representative of their class."""
+    return met(df, cut(members.filter("_id <> rep").select("_id").distinct()), ["_id"], "_id", "left_anti")
 
-def candidates(docs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b), a < b: distinct pairs of rows with a common key whose sketches agree well enough."""
-    keyed = golay_keys(docs, s).select("_id", "check", F.explode("keys").alias("key"))
-    left, right = keyed.select("key", F.col("_id").alias("a"), F.col("check").alias("ca")), keyed.select("key", F.col("_id").alias("b"), F.col("check").alias("cb"))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (equal_cells(F.col("ca"), F.col("cb")) >= s.check_16)).select("a", "b").distinct()
-    return compared(docs, pairs, s)
 
+def candidates(own: DataFrame, s: Settings) -> DataFrame:
+    """(a, b), a < b: distinct pairs of materialised prints with a common key whose sketches agree well enough.
 
-def compared(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Of the pairs (a, b) those of which enough of 64 sketch cells agree."""
-    marks = cut(sketches(docs, s))
+    Anchors that one row alone has go no further, so only segments that can meet are decoded. Hot keys are cut into
+    cells; every pair of a key is compared.
+    """
+    rows = own.select("_id", "check", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("words").alias("word"))))
+    shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    keyed = cut(golay_keys(met(rows, shared, ["anchor"], "_id")))
+    close = lambda x, y: equal_cells(x["check"], y["check"]) >= s.check_16
+    pairs = cut(bucket_pairs(keyed.select("_id", "check", F.explode("keys").alias("key")), "key", "_id", ("check",), close))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    marks = met(own.select("_id", "s0", "s1", "s2", "s3"), ids, ["_id"], "_id", "left_semi")
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("_id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(4)]), side)
     agree = sum((equal_cells(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)), F.lit(0))
     return pairs.filter(agree >= s.check_64).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Of the materialised `pairs` (a, b) those that are similar: (a, b, similarity)."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    sets = run_sets(only(docs, ids), s)
+def alike_sets(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Of the pairs (a, b) those of which the sets (id, runs) are similar: (a, b, similarity)."""
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("_id").alias("b"), F.col("runs").alias("rb")), "b")
-    shared = F.size(F.array_intersect("ra", "rb"))
-    both = both.select("a", "b", shared.alias("o"), (F.size("ra") + F.size("rb")).alias("t"))
+    both = both.select("a", "b", F.size(F.array_intersect("ra", "rb")).alias("o"), (F.size("ra") + F.size("rb")).alias("t"))
     similarity = F.col("o") / (F.col("t") - F.col("o"))
     return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= s.threshold)
 
 
-def class_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs between class representatives, members of classes): the whole result without expanding copies.
+def verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Of the materialised `pairs` (a, b) those that are similar: (a, b, similarity). Only texts of a pair are read."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    return alike_sets(pairs, run_sets(met(docs, ids, ["_id"], "_id", "left_semi"), s), s)
+
 
-    pairs: (a, b, similarity) between different texts; members: (_id, rep, n) of texts that occur more than once.
-    Null, empty and short texts (fewer than min_words units) are in neither; extra columns are ignored; of an id
-    that occurs twice with the same text one row counts; empty tables give empty results.
+def class_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs between class representatives, members of classes, classes): the whole result without expanding copies.
+
+    pairs: (a, b, similarity) between different texts; members: (_id, rep, n) of texts that occur more than once;
+    classes: (rep, n). Null, empty and short texts (fewer than min_words units) are in none; extra columns are ignored;
+    of an id that occurs twice with the same text one row counts; empty tables give empty results.
     """
     s = settings or Settings()
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    members = classes(docs, s)
-    copies = members.filter("_id <> rep").select("_id").distinct()
-    own = only(docs, cut(copies), "left_anti")
-    return verified(own, cut(candidates(own, s)), s), members
+    marked = cut(prints(docs, s))
+    members, grouped = classes(marked)
+    own = without_copies(marked, members)
+    return verified(docs, cut(candidates(own, s)), s), members, grouped
+
+
+def grown(pairs: DataFrame, side: str, members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Pairs with every member of the class of `side` in place of its representative. The members of a large class are
+    cut into chunks that meet its pairs apart from each other."""
+    chunks = F.ceil(F.col("n") / CELL_ROWS).cast("int")
+    sized = met(pairs, grouped.withColumnRenamed("rep", side), [side], "b" if side == "a" else "a", "left")
+    spread_out = sized.withColumn("_c", F.explode(F.sequence(F.lit(0), F.coalesce(chunks, F.lit(1)) - 1))).drop("n")
+    parts = members.select(F.col("rep").alias(side), F.col("_id").alias("_m"), F.pmod(F.xxhash64("_id"), chunks).cast("int").alias("_c"))
+    return spread_out.join(parts, [side, "_c"], "left").withColumn(side, F.coalesce("_m", side)).drop("_m", "_c")
 
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all alike pairs, copies expanded. See class_pairs for edge cases."""
-    pairs, members = class_pairs(df, id_col, text_col, settings)
-    pairs = pairs.select("a", "b")
-    for side in ("a", "b"):
-        grown = members.select(F.col("rep").alias(side), F.col("_id").alias("m"))
-        pairs = pairs.join(grown, side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
-    x, y = members.select("rep", F.col("_id").alias("a")), members.select("rep", F.col("_id").alias("b"))
-    within = x.join(y, "rep").filter("a < b").select("a", "b")
-    both = pairs.select("a", "b").unionByName(within)
+    """(id_a, id_b), id_a < id_b: all alike pairs, copies expanded; class_pairs and groups give the same without this
+    expansion. See class_pairs for edge cases."""
+    pairs, members, grouped = class_pairs(df, id_col, text_col, settings)
+    pairs = grown(grown(pairs.select("a", "b"), "a", members, grouped), "b", members, grouped)
+    both = pairs.unionByName(bucket_pairs(members, "rep", "_id"))
     return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """(id, group, copies, links): one row for every row of a group: the least id of the group, how many rows have the
     same text, and how many other texts this text is alike to. Copies are members of their class, not pairs."""
-    from sievewright.operators.components import connected_components
-
-    pairs, members = class_pairs(df, id_col, text_col, settings)
+    pairs, members, grouped = class_pairs(df, id_col, text_col, settings)
     pairs = cut(pairs.select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    loops = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    loops = grouped.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     roots = connected_components(pairs.unionByName(loops)).select(F.col("node").alias("rep"), "root")
     grouped = roots.join(links, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     copies = members.select("rep", "_id", F.col("n").alias("copies"))

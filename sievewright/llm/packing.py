@@ -2,12 +2,14 @@
 
 Items of one container set are hashed into partitions of bounded size; each is packed by best-fit decreasing and
 compared with a lower bound from dual feasible functions. Partitions that meet their bound are final. Of the others
-the windows that are not full are exchanged, whole windows by hash, and packed again; a group keeps its old windows
-if packing again does not save any.
+the windows that are not full are exchanged, whole windows by hash, and packed again, as long as that saves any; a
+group keeps its old windows if packing again does not save any.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,6 @@ from sievewright.session import cut
 
 CAPACITY = 1024
 ITEMS_PER_PARTITION = 20_000
-ROUNDS = 2
 BROADCAST_ROWS = 100_000
 
 
@@ -44,15 +45,13 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the greatest bound of two families of dual feasible functions.
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing of count[x] items of each size x needs: the greatest bound of two families of dual feasible
+    functions.
 
     rounding k: x -> x if (k + 1) x / capacity is whole, else floor((k + 1) x / capacity) * capacity / k;
     cutting e: items above capacity - e count as whole bins and items below e as nothing.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     for k in range(1, 21):
@@ -66,6 +65,22 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return max(best, int((whole + -(-middle // capacity)).max()))
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity) if len(sizes) else 0
+
+
+def set_bounds(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(set, least_windows): by set of items (set, size) the windows that any packing needs, from the counts of its at
+    most `capacity` sizes."""
+
+    def bound(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(capacity + 1, dtype=np.int64)
+        count[pdf["size"].to_numpy()] = pdf["n"].to_numpy()
+        return pd.DataFrame({"set": [key[0]], "least_windows": [bound_of_counts(count, capacity)]})
+
+    return items.groupBy("set", "size").agg(F.count("*").alias("n")).groupBy("set").applyInPandas(bound, "set string, least_windows bigint")
+
+
 def clean_spans(df: DataFrame) -> DataFrame:
     """(span_id, cache_name, span_start, span_end, length, status): of redelivered rows the latest by loaded_at.
 
@@ -87,24 +102,27 @@ def pieces(spans: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return cutting.select(F.col("cache_name").alias("set"), "span_id", "piece", offset.alias("offset"), F.least(F.col("length") - offset, F.lit(capacity)).cast("int").alias("size"))
 
 
-PACKED = "set string, span_id bigint, piece int, offset bigint, size int, window string, fill int, certified boolean"
+PACKED = "set string, span_id bigint, piece int, offset bigint, size int, window string, fill int, certified boolean, saved int"
 
 
 def _packer(capacity: int, round_no: int):
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["size"].to_numpy().astype(np.int64)
         order = np.lexsort((pdf["piece"].to_numpy(), pdf["span_id"].to_numpy()))
         pdf, sizes = pdf.iloc[order], sizes[order]
         bins = best_fit_decreasing(sizes, capacity)
-        used, bound = int(bins.max()) + 1, lower_bound(sizes, capacity)
-        if round_no and used >= pdf["window"].nunique():
+        used, bound, before = int(bins.max()) + 1, lower_bound(sizes, capacity), pdf["window"].nunique() if round_no else 0
+        if round_no and used >= before:
             out = pdf[["set", "span_id", "piece", "offset", "size", "window", "fill"]].copy()
-            out["certified"] = pdf["window"].nunique() == bound
+            out["certified"] = before == bound
+            out["saved"] = 0
             return out
         out = pdf[["set", "span_id", "piece", "offset", "size"]].copy()
         out["window"] = [f"{round_no}-{int(key[1])}-{b}" for b in bins.tolist()]
         out["fill"] = np.bincount(bins, weights=sizes).astype(np.int32)[bins]
         out["certified"] = used == bound
+        out["saved"] = 0
+        out.loc[out.index[:1], "saved"] = max(0, before - used)
         return out
 
     return pack
@@ -117,21 +135,23 @@ def _bucketed(items: DataFrame, spread: list[str], per_partition: int) -> DataFr
     return items.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "set").withColumn("bucket", F.pmod(F.xxhash64(*spread), F.col("n_buckets")).cast("int")).drop("n_buckets")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
     """(set, span_id, piece, offset, size, window, fill, certified) of every item (set, span_id, piece, offset, size).
 
-    certified: the item's partition has as few windows as the lower bound allows.
+    Rounds go on while some partition saves a window, and end at once when all are certified; each saves at least one,
+    so they end. certified: the item's partition has as few windows as the lower bound allows.
     """
-    done = None
-    open_ = _bucketed(items, ["span_id", "piece"], per_partition)
-    for r in range(rounds + 1):
+    done, open_, r = None, _bucketed(items, ["span_id", "piece"], per_partition), 0
+    while True:
         packed = cut(open_.groupBy("set", "bucket").applyInPandas(_packer(capacity, r), PACKED))
         loose = ~F.col("certified") & (F.col("fill") < capacity)
-        final = packed if r == rounds else packed.filter(~loose)
+        left = packed.agg(F.count_if(loose).alias("loose"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved")).first()
+        end = left["loose"] == 0 or (r > 0 and left["saved"] == 0)
+        final = (packed if end else packed.filter(~loose)).drop("saved")
         done = final if done is None else done.unionByName(final)
-        if r < rounds:
-            open_ = _bucketed(packed.filter(loose).drop("certified"), ["window", F.lit(r)], per_partition)
-    return done
+        if end:
+            return done
+        open_, r = _bucketed(packed.filter(loose).drop("certified", "saved"), ["window", F.lit(r)], per_partition), r + 1
 
 
 def packed_spans(df: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
@@ -152,9 +172,10 @@ def packed_spans(df: DataFrame, capacity: int = CAPACITY, per_partition: int = I
 def window_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(cache_name, windows, tokens, fill_share, full_windows, least_windows): by cache how full its windows are.
 
-    least_windows: tokens over the capacity, rounded up, which no packing can undercut.
+    least_windows: the bound of dual feasible functions over the whole cache, which no packing can undercut.
     """
-    windows = packed.filter(F.col("window_id").isNotNull()).groupBy("cache_name", "window_id").agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("fill"))
-    return windows.groupBy("cache_name").agg(
-        F.count("*").alias("windows"), F.sum("fill").alias("tokens"), (F.sum("fill") / (F.count("*") * capacity)).alias("fill_share"), F.count_if(F.col("fill") == capacity).alias("full_windows"), F.ceil(F.sum("fill") / capacity).alias("least_windows")
-    )
+    placed = packed.filter(F.col("window_id").isNotNull())
+    bounds = set_bounds(placed.select(F.col("cache_name").alias("set"), (F.col("piece_end") - F.col("piece_start")).cast("int").alias("size")), capacity)
+    windows = placed.groupBy("cache_name", "window_id").agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("fill"))
+    found = windows.groupBy("cache_name").agg(F.count("*").alias("windows"), F.sum("fill").alias("tokens"), (F.sum("fill") / (F.count("*") * capacity)).alias("fill_share"), F.count_if(F.col("fill") == capacity).alias("full_windows"))
+    return found.join(bounds.withColumnRenamed("set", "cache_name"), "cache_name")
