@@ -193,15 +193,81 @@ def line_reasons(lines: dict[str, np.ndarray], n_docs: int) -> np.ndarray:
     return reason
 
 
-STATS = "n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_share double, digit_share double, alpha_share double, punctuation_share double, ended_line_share double, item_line_share double, common_share double, prose_share double, reasons array<string>"
+# Thresholds of published filters. Rae et al. 2021 (Gopher), Raffel et al. 2020 (C4), Penedo et al. 2024 (FineWeb).
+GOPHER_WORDS, GOPHER_WORD_LENGTH, GOPHER_SYMBOLS, GOPHER_BULLETS, GOPHER_ELLIPSES, GOPHER_ALPHA = (50, 100_000), (3, 10), 0.1, 0.9, 0.3, 0.8
+GOPHER_STOP_WORDS, GOPHER_STOP_COUNT = "the be to of and that have with", 2
+C4_SENTENCES, C4_LINE_WORDS = 3, 5
+FINEWEB_ENDED, FINEWEB_SHORT_CHARS, FINEWEB_SHORT, FINEWEB_REPEATED = 0.12, 30, 0.67, 0.1
+#: Published rules that a document can break, in the order of `published_rules`.
+PUBLISHED = (
+    "gopher_word_count", "gopher_word_length", "gopher_symbols", "gopher_bullets", "gopher_ellipses", "gopher_alpha_words", "gopher_stop_words",
+    "c4_sentences", "c4_braces", "c4_lorem_ipsum", "c4_lines", "fineweb_ended_lines", "fineweb_short_lines", "fineweb_repeated_lines",
+)
+
+
+def published_rules(units: Units, lines: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """(documents, rules of PUBLISHED): which rules each document of a block breaks; one without characters breaks none.
+
+    c4_lines: less than half of the characters are in lines that end in punctuation and have C4_LINE_WORDS words, the
+    lines that C4 keeps. gopher_stop_words is of English and breaks in all other languages.
+    """
+    points, doc, kinds = units.points, lines["doc"], _kinds()[units.points]
+    of_unit, full = units.doc, lines["chars"] > 0
+    total = lambda mask, weights=None: np.bincount(doc[mask], weights=None if weights is None else weights[mask], minlength=n)
+    sums = np.concatenate(([0], np.cumsum(kinds == 1)))
+    words = np.maximum(units.counts, 1)
+    alpha = np.bincount(of_unit[sums[units.end] > sums[units.start]], minlength=n)
+    length = np.bincount(of_unit, weights=units.end - units.start, minlength=n) / words
+    stops = sum((np.bincount(of_unit[units.hashes == h], minlength=n) > 0).astype(int) for h in split_units([GOPHER_STOP_WORDS]).hashes.tolist())
+    dots = points == ord(".")
+    triple = dots[:-2] & dots[1:-1] & dots[2:] & ~np.concatenate(([False], dots[:-3])) if len(points) > 2 else dots[:0]
+    signs = (points == ord("#")) | (points == 0x2026)
+    signs[np.flatnonzero(triple)] = True
+    count = np.maximum(total(full), 1)
+    solid = np.flatnonzero(kinds != 0)
+    head = solid[np.minimum(np.searchsorted(solid, lines["start"]), max(len(solid) - 1, 0))] if len(solid) else np.zeros(len(doc), np.int64)
+    tail = solid[np.maximum(np.searchsorted(solid, lines["end"]) - 1, 0)] if len(solid) else np.zeros(len(doc), np.int64)
+    at = lambda where, chars: full & np.isin(points[where], [ord(c) for c in chars]) if len(points) else full
+    ellipsis = at(tail, "…") | (at(tail, ".") & (dots[np.maximum(tail - 1, 0)] & dots[np.maximum(tail - 2, 0)] if len(points) else full))
+    chars = np.maximum(total(full, lines["chars"]), 1)
+    good = full & lines["ends"] & (lines["words"] >= C4_LINE_WORDS)
+    ends = np.isin(points, [ord(c) for c in ".!?。！？"])
+    sentence_ends = np.flatnonzero(ends & ~np.concatenate((ends[1:], [False]))) if len(points) else np.zeros(0, np.int64)
+    borders = np.flatnonzero(points == ord(SEPARATOR))
+    per_doc = lambda where: np.bincount(np.searchsorted(borders, where, side="left"), minlength=n)[:n]
+    lorem = np.zeros(n, dtype=bool)
+    if "lorem ipsum" in units.text:
+        lorem = per_doc(np.array([m.start() for m in re.finditer("lorem ipsum", units.text)])) > 0
+    short = full & (lines["end"] - lines["start"] < FINEWEB_SHORT_CHARS)
+    rules = [
+        (units.counts < GOPHER_WORDS[0]) | (units.counts > GOPHER_WORDS[1]),
+        (length < GOPHER_WORD_LENGTH[0]) | (length > GOPHER_WORD_LENGTH[1]),
+        per_doc(np.flatnonzero(signs)) / words > GOPHER_SYMBOLS,
+        total(at(head, "-*+•–—·‣◦")) / count > GOPHER_BULLETS,
+        total(ellipsis) / count > GOPHER_ELLIPSES,
+        alpha / words < GOPHER_ALPHA,
+        stops < GOPHER_STOP_COUNT,
+        per_doc(sentence_ends) < C4_SENTENCES,
+        per_doc(np.flatnonzero(points == ord("{"))) > 0,
+        lorem,
+        total(good, lines["chars"]) / chars < MIN_PROSE_SHARE,
+        total(full & lines["ends"]) / count <= FINEWEB_ENDED,
+        total(short) / count >= FINEWEB_SHORT,
+        total(full & ~lines["first"], lines["chars"]) / chars >= FINEWEB_REPEATED,
+    ]
+    return np.stack(rules, axis=1) & (total(full) > 0)[:, None]
 
 
-def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+STATS = "n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_share double, digit_share double, alpha_share double, punctuation_share double, ended_line_share double, item_line_share double, common_share double, prose_share double, reasons array<string>, published array<string>"
+
+
+def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", published: bool = True) -> DataFrame:
     """(id, statistics, prose_share, reasons) of every row, without a shuffle.
 
     Lengths and shares count the normalised text without markup and white space; n_chars is the length of the
     raw text. prose_share is the share of characters in lines that break no rule, 1 for texts without characters.
-    reasons: rules by which lines were judged not to be prose, sorted by name; empty for null and empty texts.
+    reasons: rules by which lines were judged not to be prose, sorted by name; published: rules of published filters
+    that the document breaks (`published_rules`), which prose_share does not use. Both are empty for null and empty texts.
     Repeated rows stay repeated; other columns are dropped; an empty table gives an empty one.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -235,6 +301,7 @@ def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "common_share": total["common"] / words,
                 "prose_share": np.where(total["chars"] > 0, prose / chars, 1.0),
                 "reasons": [sorted(x) for x in named],
+                "published": [[PUBLISHED[i] for i in np.flatnonzero(row)] for row in published_rules(units, lines, n)] if published else [[]] * n,
             }
 
     return map_batches(df.select(id_col, text_col), kernel, f"`{id_col}` {kind}, {STATS}")
@@ -242,5 +309,13 @@ def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def not_prose(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_share: float = MIN_PROSE_SHARE) -> DataFrame:
     """Ids of rows of at least `min_chars` characters of which less than `min_share` are in prose lines."""
-    stats = text_quality(df, id_col, text_col)
+    stats = text_quality(df, id_col, text_col, published=False)
     return stats.filter((F.col("n_chars") >= min_chars) & (F.col("prose_share") < min_share)).select(id_col)
+
+
+def rule_counts(stats: DataFrame, min_chars: int = MIN_CHARS, min_share: float = MIN_PROSE_SHARE) -> DataFrame:
+    """(rule, published, documents, not_prose): by rule how many rows of text_quality break it, and how many of these
+    not_prose has. A rule that no row breaks has no row."""
+    dropped = (F.col("n_chars") >= min_chars) & (F.col("prose_share") < min_share)
+    rules = F.concat(*[F.transform(c, lambda x, k=k: F.struct(x.alias("rule"), F.lit(k).alias("published"))) for c, k in (("reasons", False), ("published", True))])
+    return stats.select(dropped.alias("d"), F.explode(rules).alias("r")).groupBy("r.rule", "r.published").agg(F.count("*").alias("documents"), F.count_if("d").alias("not_prose"))

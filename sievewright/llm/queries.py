@@ -21,6 +21,10 @@ def p1_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_quality(table(spark, sf_dir, "documents"))
 
 
+def p1_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.rule_counts(p1_quality_stats(spark, sf_dir))
+
+
 def p2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_spans(table(spark, sf_dir, "document_spans"))
 

@@ -84,6 +84,23 @@ def test_prose_and_lists(spark):
     assert {names[r.doc_id] for r in prose.not_prose(df).collect()} == {"list", "table", "csv", "noise", "letters", "keywords", "hex", "log", "cjk list", "menu"}
 
 
+def test_published_rules(spark):
+    sentence = "The old baker carried the lamp to the bridge and found that nobody in the village wanted it."
+    texts = {
+        "fine": " ".join([sentence] * 4 + ["It was late.", "They have it with them."]), "short": sentence, "long words": "incomprehensibilities counterrevolutionaries " * 30, "hashes": ("# tag ... word " * 40), "bullets": "\n".join(f"- item number {i} of the list to have" for i in range(12)),
+        "ellipses": "\n".join(["the story goes on and on to the end ..."] * 2 + ["and so it was."] * 2), "numbers": "12 345 6789 " * 30, "braces": sentence * 4 + " {x}", "lorem": sentence * 3 + " lorem ipsum dolor", "lines": "\n".join(["short line"] * 5 + ["an unended line that has many words in it"] * 2), "empty": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    names, stats = list(texts), prose.text_quality(df)
+    got = {names[r.doc_id]: set(r.published) for r in stats.collect()}
+    assert got["fine"] <= {"fineweb_repeated_lines"} and got["empty"] == set()
+    for name, rule in (("short", "gopher_word_count"), ("long words", "gopher_word_length"), ("hashes", "gopher_symbols"), ("bullets", "gopher_bullets"), ("ellipses", "gopher_ellipses"), ("numbers", "gopher_alpha_words"), ("numbers", "gopher_stop_words"), ("short", "c4_sentences"), ("braces", "c4_braces"), ("lorem", "c4_lorem_ipsum"), ("lines", "c4_lines"), ("lines", "fineweb_short_lines"), ("bullets", "fineweb_ended_lines"), ("ellipses", "fineweb_repeated_lines")):
+        assert rule in got[name] and (rule not in got["fine"]), (name, rule)
+    counts = {(r.rule, r.published): r for r in prose.rule_counts(stats).collect()}
+    assert counts["c4_braces", True].documents == 1 and all(r.not_prose <= r.documents for r in counts.values())
+    assert {r for r, p in counts if not p} <= set(prose.REASONS)
+
+
 def test_prose_edge_cases(spark, odd):
     rows = prose.text_quality(odd).collect()
     assert len(rows) == 10 and all(0 <= r.prose_share <= 1.0001 for r in rows)
