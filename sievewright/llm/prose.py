@@ -317,5 +317,6 @@ def rule_counts(stats: DataFrame, min_chars: int = MIN_CHARS, min_share: float =
     """(rule, published, documents, not_prose): by rule how many rows of text_quality break it, and how many of these
     not_prose has. A rule that no row breaks has no row."""
     dropped = (F.col("n_chars") >= min_chars) & (F.col("prose_share") < min_share)
-    rules = F.concat(*[F.transform(c, lambda x, k=k: F.struct(x.alias("rule"), F.lit(k).alias("published"))) for c, k in (("reasons", False), ("published", True))])
+    named = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("rule"), F.lit(k).alias("published")))
+    rules = F.concat(named("reasons", False), named("published", True))
     return stats.select(dropped.alias("d"), F.explode(rules).alias("r")).groupBy("r.rule", "r.published").agg(F.count("*").alias("documents"), F.count_if("d").alias("not_prose"))
