@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +80,17 @@ def _bigrams(df: DataFrame, tokens_col: str) -> DataFrame:
 def log_likelihoods(df: DataFrame, id_col: str, tokens_col: str, scorers: dict[str, Scorer], seq_len: int, stride: int) -> DataFrame:
     """(id, n_tokens, a sum of log probabilities for each scorer) of every row; two scorers also give `mixed`, the sum
     over tokens of their even mixture. Rows without tokens have zeros."""
-    shared = df.sparkSession.sparkContext.broadcast(scorers)
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorers))
     names = list(scorers)
     kind = df.schema[id_col].dataType.simpleString()
     pair = len(names) == 2
 
     def run(batches):
+        members = list(cloudpickle.loads(shared.value).values())
         for pdf in batches:
             rows = []
             for key, tokens in zip(pdf[id_col], pdf[tokens_col]):
-                found = [score_tokens(list(tokens) if tokens is not None else [], s, seq_len, stride) for s in shared.value.values()]
+                found = [score_tokens(list(tokens) if tokens is not None else [], s, seq_len, stride) for s in members]
                 rows.append((key, len(found[0]), *[float(x.sum()) for x in found], *([float((np.logaddexp(*found) - math.log(2)).sum())] if pair else [])))
             yield pd.DataFrame(rows, columns=[id_col, "n_tokens", *names, *(["mixed"] if pair else [])])
 
@@ -111,11 +113,12 @@ def evaluate_windows(df: DataFrame, id_col: str, tokens_col: str, scorer: Scorer
     sized = df.select(id_col, tokens_col, F.size(tokens_col).cast("bigint").alias("_n"), F.lit(0).alias("_tier"))
     drawn = cut(sample_windows(sized, id_col, "_n", "_tier", id_col, draws, seq_len, None, seed))
     cutting = drawn.join(sized, id_col).select(F.col("draw"), F.slice(tokens_col, F.col("window_start").cast("int") + 1, F.lit(seq_len + 1)).alias("_w"))
-    shared = df.sparkSession.sparkContext.broadcast(scorer)
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
 
     def run(batches):
+        score = cloudpickle.loads(shared.value)
         for pdf in batches:
-            sums = [float(shared.value(list(w), 1, len(w)).sum()) for w in pdf["_w"]]
+            sums = [float(score(list(w), 1, len(w)).sum()) for w in pdf["_w"]]
             yield pd.DataFrame({"tokens": [len(w) - 1 for w in pdf["_w"]], "loss": [-x for x in sums]})
 
     scored = cutting.mapInPandas(run, "tokens bigint, loss double")

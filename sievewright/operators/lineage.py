@@ -6,9 +6,11 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright import storage
+
 
 def sha256_file(path: str | Path) -> str:
     with open(path, "rb") as f:
@@ -39,14 +41,22 @@ def contract(**parts: object) -> dict[str, object]:
     return {"parts": parts, "sha256": sha256_json(parts)}
 
 
-def check_contract(path: str | Path, wanted: dict[str, object]) -> None:
-    """A stored contract that differs is an error, never a silent rebuild."""
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
+def check_contract(spark: SparkSession, path: str | Path, wanted: dict[str, object]) -> dict[str, object]:
+    """The stored contract; one that differs is an error, never a silent rebuild."""
+    found = json.loads(storage.read_text(spark, str(path)))
     if found.get("sha256") != wanted["sha256"]:
         changed = sorted(k for k in {*found["parts"], *wanted["parts"]} if found["parts"].get(k) != wanted["parts"].get(k))
         raise ValueError(f"stale stage: {', '.join(changed)} changed")
+    return found
+
+
+def write_contract(spark: SparkSession, path: str | Path, wanted: dict[str, object], **more: object) -> None:
+    """`more` is kept beside the contract, such as the hash of what it guards."""
+    storage.write_text(spark, str(path), json.dumps({**wanted, **more}, indent=2, sort_keys=True) + "\n")
 
 
-def write_contract(path: str | Path, wanted: dict[str, object]) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(wanted, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+def run_fingerprint(seed: int, dataset: dict[str, object], vocabulary: str, model: object = None, training: object = None, quality_model: str | None = None, source: str | None = None) -> dict[str, object]:
+    """What a run stands on, and a hash of it: content hashes of the splits, vocabulary and quality model, the model's
+    and the training's settings, the seed and the source."""
+    parts = {"dataset": dataset, "tokenizer_sha256": sha256_json(vocabulary), "quality_model_sha256": None if quality_model is None else sha256_json(quality_model), "model_config": model, "training_config": training, "seed": seed, "source_sha256": source}
+    return {"format_version": 1, "fingerprint_id": sha256_json(parts), "contract": parts}

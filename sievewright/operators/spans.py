@@ -114,6 +114,18 @@ def sample_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, o
     return hit.select("draw", F.col("_t").alias("tier"), id_col, start.alias("window_start"))
 
 
+def draw_windows(df: DataFrame, id_col: str, tokens_col: str, tier_col: str, ord_col: str, draws: int, seq_len: int, policy: str, probabilities: tuple[float, ...], seed: int) -> DataFrame:
+    """(draw, tier, id, window_start) by a sampling policy; of stream_uniform the id is null and the start lies in the
+    stream of all documents."""
+    if policy == "stream_uniform":
+        total = df.agg(F.sum(tokens_col)).first()[0] or 0
+        kind = df.schema[id_col].dataType
+        return stream_windows(df.sparkSession, total, seq_len, draws, seed).select("draw", F.lit(0).alias("tier"), F.lit(None).cast(kind).alias(id_col), "window_start")
+    if policy not in ("document_uniform", "quality_tier", "quality_tier_length_balanced"):
+        raise ValueError(f"unknown sampling policy {policy}")
+    return sample_windows(df, id_col, tokens_col, tier_col, ord_col, draws, seq_len, None if policy == "document_uniform" else probabilities, seed)
+
+
 def draw_counts(sampled: DataFrame, tier_col: str = "tier") -> DataFrame:
     return sampled.groupBy(tier_col).agg(F.count("*").alias("draws"))
 

@@ -11,7 +11,8 @@ from sievewright.functions.text import SPACE
 from sievewright.operators.ordered import prefix_sum
 
 DELIMITER = "<|endoftext|>"
-# The artifacts of tokenised article text and what they stand for, in order.
+# A top heading, and the artifacts of tokenised article text and what they stand for, in order.
+HEADING = r"^=\s*([^=]+?)\s*=$"
 ARTIFACTS = (
     (r"\s*@-@\s*", "-"),
     (r"(?<=\d)\s*@,@\s*(?=\d)", ","),
@@ -19,7 +20,6 @@ ARTIFACTS = (
     (r"(?<=\d)\s*@\.@\s*(?=\d)", "."),
     (r"\s*@\.@\s*", ". "),
 )
-HEADING = r"^=\s*([^=]+?)\s*=$"
 MAX_FILE_BYTES = 1 << 30
 
 
@@ -85,9 +85,35 @@ def delimited(text: Column, delimiter: str = DELIMITER, drop_first: bool = True)
     return F.transform(whole, lambda x, i: F.struct(i.alias("at"), x.alias("segment")))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
-    """(value): segments of large files, split by Spark's own line reader with the delimiter as line end."""
-    return spark.read.option("lineSep", delimiter).text(path)
+def numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, line_no, line, last): the pieces of text files between separators (line ends), in file order, and whether a
+    piece has no separator behind it. Files are split and read in parallel; numbers come from range sums."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    meta = F.col("_metadata")
+    rows = reader.text(path).select(meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = prefix_sum(rows, ["block", "at"], F.lit(1).cast("bigint"), "line_no", ("file",))
+    ends = rows.groupBy("file").agg(F.max("line_no").alias("end"), (F.sum(F.octet_length("line")) + F.count("*") * len((separator or "\n").encode()) == F.max("size")).alias("closed"))
+    return rows.join(ends, "file").select("file", "line_no", "line", ((F.col("line_no") == F.col("end")) & ~F.col("closed")).alias("last"))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str = DELIMITER, drop_first: bool = True) -> DataFrame:
+    """(ord, file, segment): segments of text files between delimiters, in file order, without the first fragment of each
+    file if asked for and always without its last, which is empty or partial."""
+    rows = numbered(spark, path, delimiter)
+    return prefix_sum(rows.filter(~F.col("last") & ((F.col("line_no") > 0) | F.lit(not drop_first))), ["file", "line_no"], F.lit(1).cast("bigint"), "ord").select("ord", "file", F.col("line").alias("segment"))
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, file, text): articles of the text files under `path`, in file order; none goes beyond its file.
+
+    The number of headings before a line comes from range sums, so a file is no single task; an article is a row.
+    """
+    lines = numbered(spark, path).withColumn("line", F.regexp_replace("line", f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    heads = prefix_sum(lines.withColumn("_h", F.col("line").rlike(HEADING).cast("bigint")), ["line_no"], "_h", "_before", ("file",))
+    cleaned = heads.withColumn("article", F.col("_before") + F.col("_h")).withColumn("line", clean_article_line(F.col("line"))).filter(F.col("line") != "")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    joined = cleaned.groupBy("file", "article").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("text"))
+    return prefix_sum(joined, ["file", "article"], F.lit(1).cast("bigint"), "ord").select("ord", "file", "text")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +137,14 @@ def read_reports(spark: SparkSession, path: str, kind: T.StructType | None = Non
 
 
 def read_tokens(spark: SparkSession, folder: str, contract: dict) -> DataFrame:
-    """A token cache, if its contract is the wanted one; else an error."""
-    from sievewright.operators.lineage import check_contract
-
-    check_contract(f"{folder}/contract.json", contract)
-    return spark.read.parquet(f"{folder}/spans")
+    """A token cache, if its contract is the wanted one and its rows are those that were written; else an error."""
+    from sievewright.operators.lineage import check_contract, content_hash
+
+    stored = check_contract(spark, f"{folder}/contract.json", contract)
+    found = spark.read.parquet(f"{folder}/spans")
+    if stored.get("cache_content") != content_hash(found).first()["content"]:
+        raise ValueError("the token cache was changed after it was written")
+    return found
 
 
 def take_characters(df: DataFrame, order: list[str], text_col: str, budget: int) -> tuple[DataFrame, DataFrame]:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright import storage
 from sievewright.functions.text import SPACE, excerpt, preview
-from sievewright.operators.lineage import write_contract
+from sievewright.operators.lineage import content_hash, write_contract
 
 
 def write_documents(df: DataFrame, path: str, ord_col: str = "ord") -> None:
@@ -23,6 +23,15 @@ def write_texts(df: DataFrame, path: str, text_col: str = "text", ord_col: str =
     df.orderBy(ord_col).select(F.concat(F.col(text_col), F.lit("\n")).alias("value")).write.mode("errorifexists").text(path)
 
 
+def text_manifest(df: DataFrame, text_col: str = "text", ord_col: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """corpus_counts by `by` with a content hash of the rows (ord, text), which holds however they are partitioned."""
+    counts = corpus_counts(df, text_col, by)
+    rows = df.select(*by, F.sha2(F.concat_ws(":", F.col(ord_col).cast("string"), F.sha2(F.coalesce(text_col, F.lit("")), 256)), 256).alias("_h"))
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(30,0)")).cast("string") for i in range(8)]
+    hashes = rows.groupBy(*by).agg(F.sha2(F.concat_ws(":", *parts), 256).alias("sha256"))
+    return counts.join(hashes, list(by)) if by else counts.join(hashes)
+
+
 def corpus_counts(df: DataFrame, text_col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """By `by`: documents, characters, words (runs without white space) and bytes; null texts count as documents."""
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -33,7 +42,7 @@ def corpus_counts(df: DataFrame, text_col: str, by: tuple[str, ...] = ()) -> Dat
 def write_review(df: DataFrame, path: str, id_col: str, text_col: str, order_col: str = "draw") -> None:
     """A blinded sheet (id, text_preview, human_label) in draw order; an existing sheet must hold the same ids."""
     sheet = df.orderBy(order_col).select(F.col(id_col).cast("string").alias("doc_id"), preview(F.col(text_col)).alias("text_preview"), F.lit("").alias("human_label"))
-    if Path(path).exists():
+    if storage.exists(df.sparkSession, path):
         found = df.sparkSession.read.option("header", True).option("escape", '"').csv(path).select("doc_id")
         ids = sheet.select("doc_id")
         if found.exceptAll(ids).limit(1).count() or ids.exceptAll(found).limit(1).count():
@@ -52,12 +61,19 @@ def review_excerpts(df: DataFrame, id_col: str, text_col: str, width: int = 380)
 def write_tokens(df: DataFrame, folder: str, contract: dict) -> None:
     """Token spans as parquet with the contract that guards them."""
     df.write.mode("errorifexists").parquet(f"{folder}/spans")
-    write_contract(f"{folder}/contract.json", contract)
+    seal_tokens(df.sparkSession, folder, contract)
+
+
+def seal_tokens(spark: SparkSession, folder: str, contract: dict, **more: object) -> str:
+    """Writes the contract of the token cache in `folder` with the content hash of its rows, which it gives back."""
+    content = content_hash(spark.read.parquet(f"{folder}/spans")).first()["content"]
+    write_contract(spark, f"{folder}/contract.json", contract, cache_content=content, **more)
+    return content
 
 
 def write_once(df: DataFrame, path: str) -> None:
     """Writes parquet; an existing table must be equal."""
-    if Path(path).exists():
+    if storage.exists(df.sparkSession, path):
         old = df.sparkSession.read.parquet(path)
         if old.exceptAll(df).limit(1).count() or df.exceptAll(old).limit(1).count():
             raise ValueError(f"{path} exists with other rows")
@@ -68,8 +84,7 @@ def write_once(df: DataFrame, path: str) -> None:
 def write_manifest(row: DataFrame, path: str, **more: object) -> dict:
     """A one-row report as JSON."""
     value = json.loads(row.toJSON().first()) | more
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True) + "\n", encoding="utf-8")
+    storage.write_text(row.sparkSession, path, json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True) + "\n")
     return value
 
 

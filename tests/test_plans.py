@@ -55,6 +55,14 @@ def test_config(tmp_path):
     (folder / "a.toml").write_text('[project]\nname = "x"\n[data]\nmin_words = 5\n[training]\nlr_schedule = "wsd"\nwsd_decay_steps = 10\n')
     config = ProjectConfig.from_toml(folder / "a.toml")
     assert config.data.min_words == 5 and config.root == str(tmp_path) and config.artifact_dir.startswith(str(tmp_path))
+    for section in ("model", "generation", "nothing"):
+        (folder / "c.toml").write_text(f"[{section}]\nnonsense = 1\n")
+        with pytest.raises(ValueError):
+            ProjectConfig.from_toml(folder / "c.toml")
+    for section in ('[data]\ntest_path = "t"\n', "[data]\nenable_model_quality = true\n", "[training]\nseq_len = 999\n", "[model]\nd_model = 10\n", "[generation]\ntemperature = 0\n"):
+        (folder / "c.toml").write_text(section)
+        with pytest.raises(ValueError):
+            ProjectConfig.from_toml(folder / "c.toml")
     (folder / "b.toml").write_text("[data]\nnonsense = 1\n")
     with pytest.raises(ValueError):
         ProjectConfig.from_toml(folder / "b.toml")
@@ -105,10 +113,10 @@ def test_contracts(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([(2, None), (1, "x")], "i int, s string")
     assert content_hash(a).first() == content_hash(b).first() and content_hash(a.limit(1)).first() != content_hash(a).first()
     wanted = contract(data="1", seq_len=8)
-    write_contract(tmp_path / "c.json", wanted)
-    check_contract(tmp_path / "c.json", wanted)
+    write_contract(spark, tmp_path / "c.json", wanted)
+    check_contract(spark, tmp_path / "c.json", wanted)
     with pytest.raises(ValueError, match="seq_len"):
-        check_contract(tmp_path / "c.json", contract(data="1", seq_len=9))
+        check_contract(spark, tmp_path / "c.json", contract(data="1", seq_len=9))
     writers.write_tokens(a, str(tmp_path / "cache"), wanted)
     assert readers.read_tokens(spark, str(tmp_path / "cache"), wanted).count() == 2
 
