@@ -36,6 +36,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 EMAIL_JAVA = EMAIL.replace(r"\b", _EDGE)
 PHONE_JAVA = PHONE.replace(r"\s", SPACE).replace(r"\w", _W).replace(r"\d", r"\p{Nd}")
 IPV4_JAVA = IPV4.replace(r"\d", r"\p{Nd}")
+#: What every phone number and IPv4 candidate holds; texts without it skip the whole pattern.
+_PHONE_CORE, _IPV4_CORE = rf"\p{{Nd}}{{3}}[-.{SPACE}]?\p{{Nd}}{{4}}", r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}"
 #: Marks around an IPv4 candidate while its octets are checked; normalised text has no NUL.
 _VALID_JAVA = rf"\x00({_OCTET}(?:\.{_OCTET}){{3}})\x00"
 
@@ -83,8 +85,8 @@ def with_masked(df: DataFrame, text_col: str, out: str = "text") -> DataFrame:
     t = F.col(text_col)
     has = lambda c, sign, then: F.when(c.contains(sign), then).otherwise(c)
     df = df.withColumn("_m1", has(t, "@", F.regexp_replace(t, EMAIL_JAVA, EMAIL_MASK)))
-    df = df.withColumn("_m2", F.regexp_replace("_m1", PHONE_JAVA, PHONE_MASK))
-    df = df.withColumn("_m3", has(F.col("_m2"), ".", F.regexp_replace("_m2", IPV4_JAVA, "\x00$0\x00")))
+    df = df.withColumn("_m2", F.when(F.col("_m1").rlike(_PHONE_CORE), F.regexp_replace("_m1", PHONE_JAVA, PHONE_MASK)).otherwise(F.col("_m1")))
+    df = df.withColumn("_m3", F.when(F.col("_m2").rlike(_IPV4_CORE), F.regexp_replace("_m2", IPV4_JAVA, "\x00$0\x00")).otherwise(F.col("_m2")))
     count = lambda c, when, pattern: F.coalesce(F.when(when, F.regexp_count(c, F.lit(pattern))), F.lit(0)).cast("bigint")
     df = df.withColumns({
         "_n1": count(t, t.contains("@"), EMAIL_JAVA),
