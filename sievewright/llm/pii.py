@@ -1,9 +1,8 @@
 """Problem 4: personal information in free text, found by the tagger of pii_model and replaced by placeholders.
 
-The tagger reads overlapping windows of all text around a place that could hold an item: an at-sign or its spelling,
-seven digits in a row of short gaps or four numbers, a number beside a name or street word, two words with capitals.
-Where windows overlap, the tags of the window whose edge is farther away count, over the whole text. Each span is
-widened to whole words and passes an exact check of its kind.
+The tagger reads all of every text in overlapping windows; nothing chooses among them. Where windows overlap, the tags
+of the window whose edge is farther away count, over the whole text. Each span is widened to whole words and passes an
+exact check of its kind.
 """
 
 from __future__ import annotations
@@ -28,13 +27,12 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 GIVEN = frozenset(name for names in GIVEN_NAMES.values() for name in names)
 PLACEHOLDERS = {"email": "|||EMAIL_ADDRESS|||", "phone": "|||PHONE_NUMBER|||", "ipv4": "|||IP_ADDRESS|||", "id_number": "|||ID_NUMBER|||", "address": "|||STREET_ADDRESS|||", "name": "|||PERSON_NAME|||"}
 WINDOW, OVERLAP = 112, 32
-BEFORE, AFTER = 32, 48
 ROWS = 2048
 #: Added to the score of a first character of each kind: the exact checks behind the tagger make up for its false starts.
 BIAS = {"email": 2.0, "phone": 3.5, "ipv4": 2.0, "id_number": 4.0, "address": 3.5, "name": 2.5}
 BLOCK_CHARS = 1 << 18
 
-# Words that open a sentence or a place and no name, street words, and words that name a person's number.
+# Words that open a sentence or a place and no name, and words that name a person's number.
 NOT_GIVEN = frozenset(
     "two three four five six seven eight zwei drei vier fünf sechs sieben acht dos tres deux trois als quand cuando as until bis hasta jusqu dit dijo fragte sagte asked said "
     "the a an in on at of for from with by to and but or nor so if when while after before during between under without near this that these those then next first second finally use do about according nobody lake mount port saint old new north south east west room page order build firmware version server mirror finally "
@@ -45,10 +43,6 @@ NOT_GIVEN = frozenset(
 PLACE_WORDS = frozenset("lake mount port saint bad institute museum university school company church road street lane avenue drive close court crescent way place terrace square gardens hill river bridge mill station hall house college library society north south east west upper lower old new council county valley st".split())
 ARTICLES = frozenset("the a an der die das den dem des ein eine einen einem einer le la les un une el los las una two three seven zwei drei sieben deux trois dos tres his her their mein sein".split())
 TITLES = frozenset("mr mrs ms dr prof professor miss herr frau m mme monsieur madame mlle sr sra señor señora don doña sir dame".split())
-STREET_WORDS = frozenset(
-    "street st road rd lane avenue ave close drive court crescent way place terrace square gardens hill flat apt rue quai boulevard bd impasse chemin allée route cours calle avenida plaza paseo camino ronda travesía carrera am auf".split()
-)
-STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ufer", "damm", "ring", "markt", "steig")
 ID_LABEL = re.compile(
     r"(?i:ssn|social|passport|identity|identidad|\bid card|\btax|national insurance|\bnino\b|\bitin\b|reisepass|ausweis|steuer|versicherung|passeport|identité|sécurité|fiscal|pasaporte|\bdni\b|\bnif\b|seguridad|身份证|护照|证件|社保|税号|licen[cs]e|führerschein|\bid-?nr|\bid (?:no|number)\b|identifikation)|\b(?:NIE|NIR|NI)\b"
 )
@@ -72,7 +66,8 @@ ADDRESS = re.compile(
     rf"|\b[A-ZÀ-Þa-zà-ÿ][\w\-]*(?i:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|markt|steig)\s\d{{1,4}}\s?[a-z]?\b"
     rf"|\b(?i:am|an\sder|auf\sdem|auf\sder)\s(?:{_CAP}\s){{1,3}}\d{{1,4}}\s?[a-z]?\b"
 )
-SPELT_AT = re.compile(r"(?i)[\[(\s]at[\])\s]\s?[\w\-]+\s?(?:[\[(\s]dot[\])\s]|[\[(]?\.[\])]?\w)")
+#: The end of one sentence and the start of the next, which no address holds.
+SENTENCES = re.compile(r"[^\W\d_]{5,}[.!?]\s+[^\W\d_]")
 
 
 @lru_cache(maxsize=1)
@@ -80,98 +75,11 @@ def tagger() -> Tagger:
     return Tagger.load(WEIGHTS)
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """By code point: 1 letter, 2 upper-case letter, 3 digit, 4 at-sign, 0 other."""
-    table = np.zeros(0x110000, dtype=np.uint8)
-    for code in range(0x30000):
-        char = chr(code)
-        if char.isdigit():
-            table[code] = 3
-        elif char.isupper():
-            table[code] = 2
-        elif char.isalpha() and not 0x2E80 <= code < 0xFF00:
-            table[code] = 1
-    table[[ord("@"), 0xFF20, 0xFE6B]] = 4
-    return table
-
-
-def places(text: str, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Positions in a block of texts, which begin at `bounds`, around which an item could lie."""
-    kinds = _classes()[points]
-    found = [np.flatnonzero(kinds == 4)]
-    digits = np.flatnonzero(kinds == 3)
-    if len(digits):
-        gap = np.diff(digits)
-        doc = np.searchsorted(bounds, digits, side="right")
-        start = np.concatenate(([0], np.flatnonzero((gap > 4) | (np.diff(doc) > 0)) + 1))
-        counts = np.diff(np.concatenate((start, [len(digits)])))
-        pieces = np.add.reduceat(np.concatenate(([1], (gap > 1).astype(np.int64))), start)
-        full = np.flatnonzero((counts >= 7) | (pieces >= 4))
-        ends = np.concatenate((start[1:], [len(digits)]))[full] - 1
-        for a, b in zip(digits[start[full]].tolist(), digits[ends].tolist()):
-            found.append(np.arange(a, b + 1, 32))
-    letter = (kinds == 1) | (kinds == 2)
-    inner = letter | (points == ord("'")) | (points == 0x2019) | (points == ord("-"))
-    first = letter & ~np.concatenate(([False], inner[:-1]))
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.unique(np.concatenate(found))
-    after = np.flatnonzero(~inner)
-    at = np.searchsorted(after, starts)
-    ends = np.where(at < len(after), after[np.minimum(at, len(after) - 1)] if len(after) else len(points), len(points))
-    capital = kinds[starts] == 2
-    pair = np.flatnonzero(capital[:-1] & capital[1:] & (starts[1:] - ends[:-1] <= 2) & (starts[1:] > ends[:-1]))
-    keep = []
-    for i in pair.tolist():
-        a, b = int(starts[i]), int(ends[i])
-        between = text[b : int(starts[i + 1])]
-        if "\n" in between or ("." in between and b - a > 4) or any(c in between for c in ";:!?()\"|/"):
-            continue
-        word = text[a:b]
-        if len(word) == 1 or word.lower() not in NOT_GIVEN:
-            keep.append(a)
-    found.append(np.array(keep, dtype=np.int64))
-    if len(digits):
-        run = np.concatenate(([0], np.flatnonzero(gap > 1) + 1))
-        length = np.diff(np.concatenate((run, [len(digits)])))
-        begin, stop = digits[run], digits[run] + length
-        # a house number has at most four digits and is no part of a decimal number
-        dot = points == ord(".")
-        decimal = dot[np.maximum(begin - 1, 0)] | (dot[np.minimum(stop, len(points) - 1)] & (kinds[np.minimum(stop + 1, len(points) - 1)] == 3))
-        house = (length <= 4) & ~decimal
-        begin, stop = begin[house], stop[house]
-        nxt = np.searchsorted(starts, stop)
-        prv = nxt - 1
-        keep = []
-        first_at, last_at, upper = starts.tolist(), ends.tolist(), capital.tolist()
-        for a, b, n, p in zip(begin.tolist(), stop.tolist(), nxt.tolist(), prv.tolist()):
-            near = n < len(first_at) and first_at[n] - b <= 3 and upper[n] and text[first_at[n] : last_at[n]].lower() not in NOT_GIVEN
-            if not near and p >= 0 and a - last_at[p] <= 3 and upper[p] and first_at[p] < a:
-                near = text[first_at[p] : last_at[p]].lower() not in NOT_GIVEN
-            if not near:
-                for i in range(max(0, p - 3), min(n + 4, len(first_at))):
-                    if first_at[i] < b + 28 and last_at[i] > a - 28:
-                        word = text[first_at[i] : last_at[i]].lower()
-                        if word in STREET_WORDS or word.endswith(STREET_ENDS):
-                            near = True
-                            break
-            if near:
-                keep.append(a)
-        found.append(np.array(keep, dtype=np.int64))
-    found.append(np.array([m.start() for m in SPELT_AT.finditer(text)], dtype=np.int64))
-    return np.unique(np.concatenate(found))
-
-
-def windows(where: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last+1 character of overlapping windows over all regions around `where`, inside their texts."""
-    doc = np.searchsorted(bounds, where, side="right") - 1
-    low, high = np.maximum(where - BEFORE, bounds[doc]), np.minimum(where + AFTER, bounds[doc + 1] - 1)
-    if not len(low):
-        return low, high
-    new = np.concatenate(([True], low[1:] > np.maximum.accumulate(high)[:-1]))
-    begin = low[new]
-    last = np.maximum.reduceat(high, np.flatnonzero(new))
+def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 character of overlapping windows over all of each text of a block; the texts begin at `bounds`,
+    with one character between them. Every character is in a window."""
+    begin, last = bounds[:-1], bounds[1:] - 1
+    begin, last = begin[last > begin], last[last > begin]
     step = WINDOW - OVERLAP
     n = np.maximum(1, -(-(last - begin - OVERLAP) // step))
     group = np.repeat(np.arange(len(begin)), n)
@@ -289,7 +197,7 @@ def check(kind: str, text: str, a: int, b: int, low: int, high: int) -> tuple[in
     if kind == "address":
         x, y = max(low, a - 24), min(high, b + 40)
         for m in ADDRESS.finditer(text, x, y):
-            if m.start() < b and m.end() > a:
+            if m.start() < b and m.end() > a and not SENTENCES.search(m[0]):
                 end = max(m.end(), min(b, _sentence_end(text, m.end(), b)))
                 return m.start(), m.start() + len(text[m.start() : end].rstrip())
         return None
@@ -343,10 +251,7 @@ def _spans(texts: list[str | None], bias: dict[str, float], judge: Callable[[str
     sizes = np.array([len(t or "") + 1 for t in texts], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     points = code_points(joined)
-    where = places(joined, points, bounds)
-    if not len(where):
-        return out
-    tags = tag(points, *windows(where, bounds), bias)
+    tags = tag(points, *windows(bounds), bias)
     kind = (tags.astype(np.int64) + 1) // 2
     change = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | ((tags[1:] % 2 == 1) & (tags[1:] > 0)))))
     ends = np.concatenate((change[1:], [len(kind)]))

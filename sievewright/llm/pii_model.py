@@ -89,6 +89,9 @@ class Tagger:
         """Hidden states (steps, rows, h) of symbols (steps, rows) in one direction."""
         hidden, wh = self.h, self.p["wh" + d]
         table = self.p["emb"] @ self.p["wx" + d] + self.p["b" + d]
+        if keep is None:  # half of the gates' sums, exactly
+            half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * hidden, hidden])
+            table, wh = table * half, wh * half
         steps, rows = x.shape
         h, c = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32)
         out = np.empty((steps, rows, hidden), np.float32)
@@ -96,10 +99,10 @@ class Tagger:
             z = table[x[t]]
             z += h @ wh
             if keep is None:
-                z[:, : 3 * hidden] *= 0.5
                 np.tanh(z, out=z)
-                z[:, : 3 * hidden] += 1
-                z[:, : 3 * hidden] *= 0.5
+                gates = z[:, : 3 * hidden]
+                gates += 1
+                gates *= 0.5
                 c = z[:, hidden : 2 * hidden] * c + z[:, :hidden] * z[:, 3 * hidden :]
                 h = z[:, 2 * hidden : 3 * hidden] * np.tanh(c)
             else:

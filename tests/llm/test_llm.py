@@ -281,6 +281,17 @@ def test_pii_in_long_digit_runs():
     assert pii.find_spans([dump, phones[0] + " is the number to call."]) == [[], alone]
 
 
+def test_tagger_reads_every_character():
+    """An item that nothing marks from outside: few digits, no capitals beside it, far from anything else."""
+    assert pii.find_spans(["their passport number is X123456 and they left."])[0] == [(25, 32, "id_number")]
+    filler = "the boats lay still and nobody came to the quay that day. " * 12
+    assert [k for _, _, k in pii.find_spans([filler + "their passport number is X123456 and they left. " + filler])[0]] == ["id_number"]
+    assert pii.find_spans(["perdió su reloj del pueblo, aunque toda la calle vino a mirar. En 1820, una nutria curiosa cambió dos redes."])[0] == []
+    start, end = pii.windows(np.array([0, 1, 301, 302, 2000, 2050]))
+    read = set().union(*(range(a, b) for a, b in zip(start, end)))
+    assert read == set(range(2049)) - {0, 300, 301, 1999}
+
+
 def test_windows_agree_over_long_texts():
     maker = Maker(8)
     text = " ".join(maker.window(400)[0] for _ in range(30))
