@@ -1,129 +1,227 @@
-"""Problem 7: records of one split that occur again in another.
+"""Problem 7: records of one split that occur again in another, by a partitioned sparse suffix array.
 
-Pairs come from an exact join on the rarest runs of each record (`prefix_pairs`) and are compared by their whole run
-sets, which the texts are read for once. What a pair
-has in common is read from a partitioned sparse suffix array: suffixes start at winnowed places, so that every shared
-span of `depth + window - 1` units holds a common start, and meet by their first `depth` units; the spans of a pair are
-merged into the coverage of the evaluation record.
+Suffixes start at the rarest `k`-runs of each record, so many of them that two records at the threshold have at least
+`COMMON` starts in common; no such pair is left out. They are partitioned by their first `k` units and sorted in each
+partition; suffixes of both splits in one interval meet, with bounds from their places. The pairs with enough starts are
+extended over their whole texts: the spans of `depth` units or more that both hold are merged into the coverage of the
+evaluation record, and the run sets are compared exactly. How often a run occurs is read from a table of counted cells
+over all records; it decides which starts are kept, never whether a pair is found.
+
+Texts are read three times and not shuffled but for ids that occur twice and for the pairs met; suffixes travel as
+compressed blocks of about ten bytes each.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.units import distinct_by_document, run_hashes, sequence_hashes, unit_blocks
-from sievewright.llm.arrow import column, list_column, map_batches, signed, values
-from sievewright.llm.leakage import winnow
-from sievewright.llm.nearcopies import Settings, alike_sets, classes, grown, without_copies
+from sievewright.functions.units import distinct_by_document, mix64, run_hashes, unit_blocks
+from sievewright.llm.arrow import column, map_batches, values
+from sievewright.llm.nearcopies import Settings, classes, grown, without_copies
 from sievewright.operators.joins import CELL_ROWS, met
 from sievewright.session import cut
 
-
-#: Shared runs that prefix_pairs asks for before a pair is compared; any number from 1 on gives the same result.
+#: Shared starts asked for before a pair is compared; any number from 1 on gives the same result.
 COMMON = 4
+#: Bits of a cell's number at most; two cells for a run up to that. More runs a cell cost time, never pairs.
+MAX_BITS = 26
+CHUNK_BITS = 16
+#: Runs of one partition of suffixes, pairs expanded at once, and entries gathered before they are counted.
+PART_RUNS, MEETINGS, GATHERED = 2_000_000, 1 << 21, 1 << 22
 
 
 @dataclass(frozen=True)
 class SuffixSettings:
-    """depth and window say which spans count as covered."""
+    """depth says which spans count as covered."""
 
     depth: int = 12
-    window: int = 5
 
 
-def suffixes(docs: DataFrame, s: Settings, x: SuffixSettings) -> DataFrame:
-    """(id, pos, g1): sampled suffixes with hashes of their first units."""
-    kind = docs.schema["_id"].dataType.simpleString()
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length, byte by byte, so that high bytes take no room."""
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T) for c in columns]
+    return zlib.compress(b"".join(x.tobytes() for x in planes), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
+
+
+def run_weights(docs: DataFrame, s: Settings, bits: int) -> np.ndarray:
+    """By cell, the first `bits` bits of a run: 0 if the runs in it occur on one side only, else 1 + the bits of the mean of
+    how often they occur on both. Counted over all records; each task sends its distinct cells once."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+            cells, n = (np.concatenate(x) for x in zip(*parts))
+            distinct, where = np.unique(cells, return_inverse=True)
+            return [(distinct, np.bincount(where, weights=n, minlength=len(distinct)).astype(np.uint64))]
+
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for batch in batches:
+            texts, side = column(batch, "_text"), values(batch, "side").to_numpy(zero_copy_only=False)
+            for low, _, units in unit_blocks(texts):
+                grams, at = run_hashes(units, s.k)
+                doc = units.doc[at]
+                cells = ((grams >> np.uint64(64 - bits)) << np.uint64(1)) | side[low + doc].astype(np.uint64)
+                cells, n = np.unique(cells[units.counts[doc] >= s.min_words], return_counts=True)
+                parts.append((cells, n.astype(np.uint64)))
+            if sum(len(x) for x, _ in parts[1:]) > GATHERED + len(parts[0][0]):
+                parts = counted(parts)
+        cells, n = counted(parts)[0]
+        chunk = (cells >> np.uint64(CHUNK_BITS + 1)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        blobs = [packed(np.diff(cells[a:b], prepend=cells[a] >> np.uint64(CHUNK_BITS + 1) << np.uint64(CHUNK_BITS + 1)), n[a:b]) for a, b in zip(starts, [*starts[1:], len(cells)])]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[starts], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "cells"])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(column(batch, "chunk"), column(batch, "cells")):
+                steps, n = unpacked(blob, 2)
+                total = sums.setdefault(chunk, np.zeros(2 << CHUNK_BITS))
+                total[np.cumsum(steps)] += n
+        for chunk, total in sums.items():
+            both = np.sqrt(total[0::2] * total[1::2])
+            kinds = np.where(both > 0, 1 + np.ceil(np.log2(np.maximum(both, 1))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(kinds.tobytes(), 1)], pa.binary())], ["chunk", "kinds"])
+
+    table = np.zeros(1 << max(bits, CHUNK_BITS), np.uint8)
+    found = docs.select("side", "_text").mapInArrow(counts, "chunk int, cells binary").repartition("chunk").mapInArrow(weights, "chunk int, kinds binary")
+    for row in found.collect():  # at most a byte a cell
+        table[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(row.kinds), np.uint8)
+    return table
+
+
+def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
+    """(part, side, suffixes): the sampled suffixes of records (id, record, side, text), by a range of their first units.
+
+    The distinct runs of a record are ordered by their weight, then by the run. Two sets at the threshold t share at
+    least t times the runs of either, so the first l runs they share lie among the first n - ceil(t n) + l of both, and
+    the places of these bound how many more they can share. Runs that occur on one side only come first and are counted,
+    not sent. A start whose cell is frequent on both sides goes to a row or column of a grid, and meets each record of
+    the other side in one of its fields. A block has the sorted keys, records, how many runs these have, and how many
+    from this one on could be shared.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(run_weights(docs, s, bits))
+    common, cell_rows, threshold = COMMON, CELL_ROWS, s.threshold
 
     def kernel(batch: pa.RecordBatch):
-        texts, ids = column(batch, "_text"), values(batch, "_id")
-        for low, _, units in unit_blocks(texts):
-            first, at = winnow(units, x.depth, x.window)
-            keep = units.counts[units.doc[at]] >= s.min_words
-            first, at = first[keep], at[keep]
+        texts = column(batch, "_text")
+        records, side = (values(batch, c).to_numpy(zero_copy_only=False) for c in ("record", "side"))
+        kept: list[list[np.ndarray]] = []
+        for low, high, units in unit_blocks(texts):
+            runs, at = run_hashes(units, s.k)
             doc = units.doc[at]
-            yield {"_id": ids.take(pa.array(doc + low)), "pos": (at - units.offsets[doc]).astype(np.int32), "g1": signed(first)}
-
-    return map_batches(docs, kernel, f"_id {kind}, pos int, g1 bigint")
-
-
-def shared_spans(pairs: DataFrame, docs: DataFrame, s: Settings, x: SuffixSettings) -> DataFrame:
-    """(a, b, starts): of the materialised pairs (a, b) those with a common suffix, with the span starts in b."""
-    found = suffixes(met(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), ["_id"], "_id", "left_semi"), s, x)
-    train = pairs.select("a", "b").join(found.select(F.col("_id").alias("a"), "g1").distinct(), "a")
-    joined = train.join(found.select(F.col("_id").alias("b"), "g1", "pos"), ["b", "g1"])
-    return joined.groupBy("a", "b").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
-
-
-def records(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, side, h1, h2, runs): of each row with enough units two hashes of their sequence and the distinct k-runs, as
-    hashes, from one reading of the texts."""
-    kind = docs.schema["_id"].dataType.simpleString()
+            enough = units.counts[doc] >= s.min_words
+            runs, doc = runs[enough], doc[enough]
+            kinds = shared.value[runs >> np.uint64(64 - bits)]
+            order = np.lexsort((runs, kinds, doc))
+            runs, doc, kinds = runs[order], doc[order], kinds[order]
+            new = np.ones(len(runs), dtype=bool)
+            new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
+            runs, doc, kinds = runs[new], doc[new], kinds[new]
+            n = np.bincount(doc, minlength=high - low)
+            place = np.arange(len(runs)) - (np.cumsum(n) - n)[doc]
+            least = np.ceil(n * threshold - 1e-9).astype(np.int64)  # less a little, as 0.6 * n may be rounded up past its integer
+            keep = (kinds > 0) & (place < (n - least + common)[doc])
+            runs, doc, kinds, place = runs[keep], doc[keep], kinds[keep], place[keep]
+            kept.append([runs, kinds, records[low + doc].astype(np.uint64), side[low + doc], n[doc], n[doc] - place])
+        if not kept:
+            return
+        runs, kinds, record, side, n, rest = (np.concatenate(x) for x in zip(*kept))
+        grid = np.maximum(1, -(-(1 << np.maximum(kinds.astype(np.int64) - 1, 0)) // cell_rows))
+        own = (mix64(record + np.uint64(91)) % grid.astype(np.uint64)).astype(np.int64)
+        each = np.repeat(np.arange(len(runs)), grid)
+        other = np.arange(len(each)) - np.repeat(np.cumsum(grid) - grid, grid)
+        field = np.where(side[each] == 0, own[each] * grid[each] + other, other * grid[each] + own[each])
+        keys = mix64(runs[each] + field.astype(np.uint64)) >> np.uint64(24)
+        part = ((keys * np.uint64(parts)) >> np.uint64(40)).astype(np.int64)
+        order = np.lexsort((keys, side[each], part))
+        each, keys, part = each[order], keys[order], part[order]
+        group = part * 2 + side[each]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        blobs = [packed(np.diff(keys[a:b], prepend=np.uint64(0)), record[e := each[a:b]], n[e], rest[e]) for a, b in zip(starts, [*starts[1:], len(each)])]
+        yield {"part": part[starts].astype(np.int32), "side": (group[starts] % 2).astype(np.int32), "suffixes": pa.array(blobs, pa.binary())}
+
+    return map_batches(docs.select("record", "side", "_text"), kernel, "part int, side int, suffixes binary")
+
+
+def meetings(found: DataFrame, s: Settings, parts: int) -> DataFrame:
+    """(r0, r1): the records of side 0 and 1 whose suffixes meet in as many intervals as a pair at the threshold does."""
+    common, threshold = COMMON, s.threshold
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: tuple[list, list] = ([], [])
+        for batch in batches:
+            for side, blob in zip(column(batch, "side"), column(batch, "suffixes")):
+                step, record, n, rest = unpacked(blob, 4)
+                blocks[side].append((np.cumsum(step), record.astype(np.int64), n.astype(np.int64), rest.astype(np.int64)))
+        if not all(blocks):
+            return
+        (k0, r0, n0, rest0), (k1, r1, n1, rest1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in blocks)
+        order = np.argsort(k0, kind="stable")
+        k0, r0, n0, rest0 = k0[order], r0[order], n0[order], rest0[order]
+        order = np.argsort(k1, kind="stable")
+        k1, r1, n1, rest1 = k1[order], r1[order], n1[order], rest1[order]
+        first, size = np.searchsorted(k0, k1), np.searchsorted(k0, k1, side="right")
+        size -= first
+        ends = np.cumsum(size)
+        for low in range(0, int(ends[-1]), MEETINGS):  # the pairs of all intervals in order, so many at a time
+            pair = np.arange(low, min(low + MEETINGS, int(ends[-1])))
+            j = np.searchsorted(ends, pair, side="right")
+            i = first[j] + pair - (ends[j] - size[j])
+            enough = (np.minimum(rest0[i], rest1[j]) + (common - 1)) * (1 + threshold) >= threshold * (n0[i] + n1[j]) - 1e-9
+            i, j = i[enough], j[enough]
+            order = np.lexsort((r1[j], r0[i]))
+            i, j = i[order], j[order]
+            a, b = r0[i], r1[j]
+            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate((new, [len(a)])))
+            least = np.ceil(np.minimum(n0[i[new]], n1[j[new]]) * threshold - 1e-9)
+            columns = [pa.array(a[new]), pa.array(b[new]), pa.array(n.astype(np.int32)), pa.array(np.minimum(common, least).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["r0", "r1", "n", "least"])
+
+    hits = found.repartition(parts, "part").mapInArrow(kernel, "r0 bigint, r1 bigint, n int, least int")
+    return hits.groupBy("r0", "r1").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter("n >= least").select("r0", "r1")
+
+
+def extended(pairs: DataFrame, s: Settings, x: SuffixSettings) -> DataFrame:
+    """Of the pairs (a, b, ta, tb) with their texts those that are similar: (a, b, similarity, covered)."""
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch):
-        texts, ids, side = column(batch, "_text"), values(batch, "_id"), values(batch, "side")
+        sides = [column(batch, c) for c in ("ta", "tb")]
+        texts = list(dict.fromkeys(t for side in sides for t in side))
+        parts = {}
         for low, high, units in unit_blocks(texts):
             grams, at = run_hashes(units, s.k)
-            doc = units.doc[at]
-            enough = units.counts[doc] >= s.min_words
-            distinct, offsets = distinct_by_document(grams[enough], doc[enough], high - low)
-            keep = np.flatnonzero(np.diff(offsets))
-            h1, h2 = sequence_hashes(units)
-            rows = pa.array(keep + low)
-            yield {"_id": ids.take(rows), "side": side.take(rows), "h1": signed(h1[keep]), "h2": signed(h2[keep]), "runs": list_column(signed(distinct), np.concatenate(([0], offsets[keep + 1])), pa.int64())}
-
-    return map_batches(docs, kernel, f"_id {kind}, side int, h1 bigint, h2 bigint, runs array<bigint>")
-
-
-def order_key(run: str, weight: Column) -> Column:
-    """A run as a number that sorts by how often it occurs, in 16 classes, then by the run: 4 bits and 59 of its hash."""
-    kind = F.least(F.floor(F.log2(weight) / 2), F.lit(15)).cast("bigint")
-    return F.shiftleft(kind, 59).bitwiseOR(F.shiftrightunsigned(run, 5))
-
-
-def prefix_pairs(sets: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): all pairs of a record of side 0 and one of side 1 that can reach the threshold, none left out.
-
-    The distinct runs of every record (id, side, runs) are ordered by how often they occur, rarest first. Two sets at
-    the threshold t share at least t times the runs of either, so the first l runs they share lie among the first
-    n - ceil(t n) + l of both, and the places of these bound how many more they can share. Runs that occur on one side
-    only are the rarest of all and are counted, not joined; a run of a notice stands last and is seldom a key. A run that
-    is frequent on both sides is cut into cells of records, which meet apart from each other.
-    """
-    least = F.ceil(F.col("n") * s.threshold - 1e-9)  # less a little, as 0.6 * n may be rounded up past its integer
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("row"), "_id", "side", F.size("runs").alias("n"), "runs"))
-    runs = sets.select("row", "side", "n", F.explode("runs").alias("run"))
-    known = runs.groupBy("run").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    known = known.filter("n0 > 0 and n1 > 0").select("run", *[F.ceil(F.col(f"n{i}") / CELL_ROWS).cast("int").alias(f"m{i}") for i in (0, 1)], order_key("run", F.col("n0") * F.col("n1")).alias("key"))
-    known = cut(known)
-    ranked = met(runs, known.select("run", "key"), ["run"], "row").groupBy("row", "side", "n").agg(F.sort_array(F.collect_list("key")).alias("shared"))
-    private = F.col("n") - F.size("shared")
-    length = (F.col("n") - least + COMMON - private).cast("int")
-    keyed = ranked.filter(length > 0).select("row", "side", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), length)).alias("at", "key"))
-    keyed = cut(keyed.select("row", "side", "n", least.alias("least"), (F.col("m") - F.col("at")).alias("rest"), "key"))
-    hot = cut(known.filter("m0 > 1 or m1 > 1").select("key", "m0", "m1"))
-    cells = met(keyed, hot, ["key"], "row", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("m0", "m1")})
-    sides = []
-    for i in (0, 1):
-        chunk = {i: F.pmod(F.xxhash64("row"), F.col(f"m{i}")).cast("int"), 1 - i: F.explode(F.sequence(F.lit(0), F.col(f"m{1 - i}") - 1))}
-        sides.append(cells.filter(F.col("side") == i).select("key", chunk[0].alias("c0"), chunk[1].alias("c1"), F.col("row").alias(f"r{i}"), F.col("n").alias(f"n{i}"), F.col("least").alias(f"least{i}"), F.col("rest").alias(f"rest{i}")))
-    enough = (F.least("rest0", "rest1") + (COMMON - 1)) * (1 + s.threshold) >= s.threshold * (F.col("n0") + F.col("n1")) - 1e-9
-    hits = sides[0].join(sides[1], ["key", "c0", "c1"]).filter(enough).groupBy("r0", "r1").agg(F.count("*").alias("met"), F.first("least0").alias("least0"), F.first("least1").alias("least1"))
-    rows = hits.filter(F.col("met") >= F.least(F.lit(COMMON), "least0", "least1")).select("r0", "r1")
-    names = sets.select("row", "_id")
-    return rows.join(names.select(F.col("row").alias("r0"), F.col("_id").alias("a")), "r0").join(names.select(F.col("row").alias("r1"), F.col("_id").alias("b")), "r1").select("a", "b")
-
-
-def coverage(starts, depth: int):
-    """Units under the merged spans that begin at the sorted `starts`."""
-    first = F.struct(F.lit(0).alias("n"), F.lit(-depth).alias("at"))
-    step = lambda acc, p: F.struct((acc.n + F.least(F.lit(depth), p - acc.at)).alias("n"), p.alias("at"))
-    return F.aggregate(starts, first, step, lambda acc: acc.n)
+            runs, offsets = distinct_by_document(grams, units.doc[at], high - low)
+            deep, at = run_hashes(units, x.depth)
+            bounds = np.searchsorted(units.doc[at], np.arange(high - low + 1))
+            for i in range(high - low):
+                parts[texts[low + i]] = runs[offsets[i] : offsets[i + 1]], deep[bounds[i] : bounds[i + 1]]
+        keep, similarity, covered = [], [], []
+        for row, (ta, tb) in enumerate(zip(*sides)):
+            (ra, da), (rb, db) = parts[ta], parts[tb]
+            both = len(np.intersect1d(ra, rb, assume_unique=True))
+            if not both or (alike := both / (len(ra) + len(rb) - both)) < s.threshold:
+                continue
+            starts = np.flatnonzero(np.isin(db, da))  # suffixes of b in an interval with one of a
+            keep.append(row)
+            similarity.append(alike)
+            covered.append(int(np.minimum(np.diff(starts, append=len(db) + x.depth), x.depth).sum()))
+        yield {"a": values(batch, "a").take(pa.array(keep, pa.int64())), "b": values(batch, "b").take(pa.array(keep, pa.int64())), "similarity": similarity, "covered": covered}
+
+    return map_batches(pairs.select("a", "b", "ta", "tb"), kernel, f"a {kind}, b {kind}, similarity double, covered int")
 
 
 def side_of(id_col: str):
@@ -132,36 +230,44 @@ def side_of(id_col: str):
     return F.when(prefix == "train", 0).when(prefix.isin("validation", "test"), 1).cast("int")
 
 
-def cross_split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = "loaded_at", settings: Settings | None = None, suffix_settings: SuffixSettings | None = None, covered: bool = True) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
+def latest(rows: DataFrame) -> DataFrame:
+    """(id, text, side) of the latest row of each id, then the greatest text. Only texts of ids that occur twice move."""
+    twice = cut(rows.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"))
+    last = met(rows, twice, ["_id"], "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("_order", "_text")).alias("last"), F.first("side").alias("side"))
+    once = met(rows, twice, ["_id"], "_id", "left_anti").select("_id", "_text", "side")
+    return once.unionByName(last.select("_id", F.col("last._text").alias("_text"), "side")).filter(F.col("_text").isNotNull())
+
+
+def cross_split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = "loaded_at", settings: Settings | None = None, suffix_settings: SuffixSettings | None = None) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
     """(pairs of representatives (a, b, similarity, covered), by side "a" and "b" the members and classes of equal texts).
 
     The split is the prefix of the id; of rows with one id the latest by `order_col` counts (then the greatest
     text). Null, empty and short texts have no overlaps; equal texts of a side are compared once and are members of
-    one class; extra columns are ignored; empty tables give empty results. Only if asked for, covered counts the units
-    of b under spans it shares with a.
+    one class; extra columns are ignored; empty tables give empty results. covered counts the units of b under spans of
+    `depth` units or more that it shares with a.
     """
     s, x = settings or Settings(), suffix_settings or SuffixSettings()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.col(order_col).alias("_order")] if order_col else [F.lit(0).alias("_order")]))
     rows = rows.withColumn("side", side_of("_id")).filter(F.col("side").isNotNull())
-    docs = rows.groupBy("_id").agg(F.max(F.struct("_order", "_text")).alias("last"), F.first("side").alias("side")).select("_id", F.col("last._text").alias("_text"), "side").filter(F.col("_text").isNotNull())
-    if covered:
-        docs = cut(docs)
-    found = cut(records(docs, s))
-    sides = {name: classes(found.filter(F.col("side") == i)) for i, name in enumerate("ab")}
-    own = without_copies(found, sides["a"][0].unionByName(sides["b"][0]))
-    pairs = cut(prefix_pairs(own, s))
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    pairs = alike_sets(pairs, met(found.select("_id", "runs"), ids, ["_id"], "_id", "left_semi"), s)
-    if covered:
-        pairs = cut(pairs)
-        spans = shared_spans(pairs, docs, s, x).select("a", "b", coverage(F.col("starts"), x.depth).alias("covered"))
-        pairs = pairs.join(spans, ["a", "b"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
-    return pairs, sides
+    docs = latest(rows)
+    hashed = docs.select("_id", "side", F.xxhash64(F.lit(1), "_text").alias("h1"), F.xxhash64(F.lit(2), "_text").alias("h2"))
+    sides = {name: classes(hashed.filter(F.col("side") == i)) for i, name in enumerate("ab")}
+    # records go by 40 bits of a hash of their id; two ids with one hash only give pairs that are compared in vain
+    own = without_copies(docs, sides["a"][0].unionByName(sides["b"][0])).withColumn("record", F.shiftrightunsigned(F.xxhash64("_id"), 24))
+    runs = (rows.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
+    bits = min(MAX_BITS, max(CHUNK_BITS, (2 * runs).bit_length()))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs // PART_RUNS)
+    pairs = cut(meetings(suffixes(own, s, bits, parts), s, parts))
+    used = cut(pairs.select(F.explode(F.array("r0", "r1")).alias("record")).distinct())
+    texts = met(own, used, ["record"], "_id", "left_semi")
+    for i, name in enumerate("ab"):
+        pairs = pairs.join(texts.filter(F.col("side") == i).select(F.col("record").alias(f"r{i}"), F.col("_id").alias(name), F.col("_text").alias(f"t{name}")), f"r{i}")
+    return cut(extended(pairs, s, x)), sides
 
 
 def overlaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = "loaded_at", settings: Settings | None = None, suffix_settings: SuffixSettings | None = None) -> DataFrame:
     """(train, held, similarity): all cross-split pairs, copies expanded. See cross_split for edge cases."""
-    pairs, sides = cross_split(df, id_col, text_col, order_col, settings, suffix_settings, covered=False)
+    pairs, sides = cross_split(df, id_col, text_col, order_col, settings, suffix_settings)
     for side, (members, grouped) in sides.items():
         pairs = grown(pairs, side, members, grouped)
     return pairs.select(F.col("a").alias("train"), F.col("b").alias("held"), "similarity").distinct()
@@ -173,7 +279,7 @@ def overlap_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null source is reported as null; the source of an id is that of its latest row. Copies of a held-out record are
     counted through its class; no pairs of them are made.
     """
-    pairs, sides = cross_split(df, id_col, text_col, order_col, covered=False)
+    pairs, sides = cross_split(df, id_col, text_col, order_col)
     flags = pairs.groupBy("b").agg(F.max(F.col("similarity") >= 1.0).alias("exact"))
     flags = grown(flags.withColumn("a", F.col("b")), "b", *sides["b"]).select(F.col("b").alias("_id"), "exact")
     rows = df.select(F.col(id_col).alias("_id"), F.struct(F.col(order_col) if order_col else F.lit(0), F.col(source_col).alias("source")).alias("o"))

@@ -429,6 +429,30 @@ def test_cross_split_of_short_records(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.filter("a = 'train-source-6-x' and b = 'test-source-6-x' and covered > 20").count() == 1
 
 
+def test_pairs_come_from_suffixes_with_their_coverage(spark, monkeypatch):
+    """Pairs come by the suffixes alone, with exact coverage, however full the cells and whatever COMMON."""
+    rows = [(f"{'test' if i % 3 == 0 else 'train'}-source-{i}-x", t) for i, t in enumerate(corpus(29, 60))]
+    texts = dict(rows)
+    sets = {i: runs_of(t, 3) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i.startswith("train") and j.startswith("test") and alike(sets[i], sets[j])}
+
+    def covered(a, b):
+        deep, words = runs_of(a, 12), normalized_words(b)
+        return len({j for i in range(len(words) - 11) if tuple(words[i : i + 12]) in deep for j in range(i, i + 12)})
+
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for common, bits in ((4, 26), (1, 2)):
+        monkeypatch.setattr(overlaps, "COMMON", common)
+        monkeypatch.setattr(overlaps, "CHUNK_BITS", min(bits, 16))
+        monkeypatch.setattr(overlaps, "MAX_BITS", bits)
+        found = overlaps.cross_split(df, order_col=None)[0].collect()
+        by = {(r.a, r.b): r.covered for r in found}
+        assert len(want) > 10 and {(r.train, r.held) for r in overlaps.overlaps(df, order_col=None).collect()} == want
+        assert by == {(a, b): covered(texts[a], texts[b]) for a, b in by} and by.keys() <= want
+    monkeypatch.setattr(overlaps, "meetings", lambda found, s, parts: spark.createDataFrame([], "r0 bigint, r1 bigint"))
+    assert overlaps.cross_split(df, order_col=None)[0].count() == 0
+
+
 # --- 6 ---
 
 
