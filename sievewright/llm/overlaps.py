@@ -7,8 +7,8 @@ extended over their whole texts: the spans of `depth` units or more that both ho
 evaluation record, and the run sets are compared exactly. How often a run occurs is read from a table of counted cells
 over all records; it decides which starts are kept, never whether a pair is found.
 
-Texts are read three times and not shuffled but for ids that occur twice and for the pairs met; suffixes travel as
-compressed blocks of about ten bytes each.
+Texts are read three times and not shuffled but for ids that occur twice and for the pairs met; suffixes travel in
+compressed blocks, and meetings only of records whose marks leave room for the threshold.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
 
 
-def run_weights(docs: DataFrame, s: Settings, bits: int) -> np.ndarray:
-    """By cell, the first `bits` bits of a run: 0 if the runs in it occur on one side only, else 1 + the bits of the mean of
+def run_weights(docs: DataFrame, s: Settings, bits: int) -> dict[int, bytes]:
+    """By cell, the first `bits` bits of a run, in compressed chunks: 0 if the runs in it occur on one side only, else 1 + the bits of the mean of
     how often they occur on both. Counted over all records; each task sends its distinct cells once."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +94,8 @@ def run_weights(docs: DataFrame, s: Settings, bits: int) -> np.ndarray:
             kinds = np.where(both > 0, 1 + np.ceil(np.log2(np.maximum(both, 1))), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(kinds.tobytes(), 1)], pa.binary())], ["chunk", "kinds"])
 
-    table = np.zeros(1 << max(bits, CHUNK_BITS), np.uint8)
     found = docs.select("side", "_text").mapInArrow(counts, "chunk int, cells binary").repartition("chunk").mapInArrow(weights, "chunk int, kinds binary")
-    for row in found.collect():  # at most a byte a cell
-        table[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(row.kinds), np.uint8)
-    return table
+    return {row.chunk: bytes(row.kinds) for row in found.collect()}  # less than a byte a cell, MAX_BITS at most
 
 
 def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
@@ -108,13 +105,19 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
     least t times the runs of either, so the first l runs they share lie among the first n - ceil(t n) + l of both, and
     the places of these bound how many more they can share. Runs that occur on one side only come first and are counted,
     not sent. A start whose cell is frequent on both sides goes to a row or column of a grid, and meets each record of
-    the other side in one of its fields. A block has the sorted keys, records, how many runs these have, and how many
-    from this one on could be shared.
+    the other side in one of its fields. A block has the sorted keys, how many runs from each on could be shared, and once
+    for each of its records how many runs it has and which of 128 bits an odd number of them falls on. Two sets
+    differ in at least as many runs as these bits differ in.
     """
     shared = docs.sparkSession.sparkContext.broadcast(run_weights(docs, s, bits))
-    common, cell_rows, threshold = COMMON, CELL_ROWS, s.threshold
+    common, cell_rows, threshold, chunk = COMMON, CELL_ROWS, s.threshold, 1 << CHUNK_BITS
+    tables: list[np.ndarray] = []
 
     def kernel(batch: pa.RecordBatch):
+        if not tables:
+            tables.append(np.zeros(max(1 << bits, chunk), np.uint8))
+            for i, found in shared.value.items():
+                tables[0][i * chunk : (i + 1) * chunk] = np.frombuffer(zlib.decompress(found), np.uint8)
         texts = column(batch, "_text")
         records, side = (values(batch, c).to_numpy(zero_copy_only=False) for c in ("record", "side"))
         kept: list[list[np.ndarray]] = []
@@ -123,21 +126,23 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
             doc = units.doc[at]
             enough = units.counts[doc] >= s.min_words
             runs, doc = runs[enough], doc[enough]
-            kinds = shared.value[runs >> np.uint64(64 - bits)]
+            kinds = tables[0][runs >> np.uint64(64 - bits)]
             order = np.lexsort((runs, kinds, doc))
             runs, doc, kinds = runs[order], doc[order], kinds[order]
             new = np.ones(len(runs), dtype=bool)
             new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
             runs, doc, kinds = runs[new], doc[new], kinds[new]
             n = np.bincount(doc, minlength=high - low)
+            odd = (np.bincount(doc * 128 + (mix64(runs) & np.uint64(127)).astype(np.int64), minlength=(high - low) * 128) & 1).astype(np.uint8)
+            marks = np.packbits(odd).view("<u8").reshape(-1, 2)
             place = np.arange(len(runs)) - (np.cumsum(n) - n)[doc]
             least = np.ceil(n * threshold - 1e-9).astype(np.int64)  # less a little, as 0.6 * n may be rounded up past its integer
             keep = (kinds > 0) & (place < (n - least + common)[doc])
             runs, doc, kinds, place = runs[keep], doc[keep], kinds[keep], place[keep]
-            kept.append([runs, kinds, records[low + doc].astype(np.uint64), side[low + doc], n[doc], n[doc] - place])
+            kept.append([runs, kinds, records[low + doc].astype(np.uint64), side[low + doc], n[doc], n[doc] - place, marks[doc]])
         if not kept:
             return
-        runs, kinds, record, side, n, rest = (np.concatenate(x) for x in zip(*kept))
+        runs, kinds, record, side, n, rest, marks = (np.concatenate(x) for x in zip(*kept))
         grid = np.maximum(1, -(-(1 << np.maximum(kinds.astype(np.int64) - 1, 0)) // cell_rows))
         own = (mix64(record + np.uint64(91)) % grid.astype(np.uint64)).astype(np.int64)
         each = np.repeat(np.arange(len(runs)), grid)
@@ -149,7 +154,12 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
         each, keys, part = each[order], keys[order], part[order]
         group = part * 2 + side[each]
         starts = np.flatnonzero(np.diff(group, prepend=-1))
-        blobs = [packed(np.diff(keys[a:b], prepend=np.uint64(0)), record[e := each[a:b]], n[e], rest[e]) for a, b in zip(starts, [*starts[1:], len(each)])]
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(each)]):
+            _, once, which = np.unique(record[e := each[a:b]], return_index=True, return_inverse=True)
+            own = e[once]
+            parted = packed(np.diff(keys[a:b], prepend=np.uint64(0)), which, rest[e]), packed(record[own], n[own], marks[own, 0], marks[own, 1])
+            blobs.append(len(parted[0]).to_bytes(4, "little") + parted[0] + parted[1])
         yield {"part": part[starts].astype(np.int32), "side": (group[starts] % 2).astype(np.int32), "suffixes": pa.array(blobs, pa.binary())}
 
     return map_batches(docs.select("record", "side", "_text"), kernel, "part int, side int, suffixes binary")
@@ -161,17 +171,24 @@ def meetings(found: DataFrame, s: Settings, parts: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: tuple[list, list] = ([], [])
+        named: tuple[list, list] = ([], [])
+        seen = [0, 0]
         for batch in batches:
             for side, blob in zip(column(batch, "side"), column(batch, "suffixes")):
-                step, record, n, rest = unpacked(blob, 4)
-                blocks[side].append((np.cumsum(step), record.astype(np.int64), n.astype(np.int64), rest.astype(np.int64)))
+                size = 4 + int.from_bytes(blob[:4], "little")
+                step, which, rest = unpacked(blob[4:size], 3)
+                named[side].append(unpacked(blob[size:], 4))
+                blocks[side].append((np.cumsum(step), which.astype(np.int64) + seen[side], rest.astype(np.int32)))
+                seen[side] += len(named[side][-1][0])
         if not all(blocks):
             return
-        (k0, r0, n0, rest0), (k1, r1, n1, rest1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in blocks)
+        (k0, w0, rest0), (k1, w1, rest1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in blocks)
+        (r0, n0, x0, y0), (r1, n1, x1, y1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in named)
+        r0, r1, n0, n1 = (x.astype(np.int64) for x in (r0, r1, n0, n1))
         order = np.argsort(k0, kind="stable")
-        k0, r0, n0, rest0 = k0[order], r0[order], n0[order], rest0[order]
+        k0, w0, rest0 = k0[order], w0[order], rest0[order]
         order = np.argsort(k1, kind="stable")
-        k1, r1, n1, rest1 = k1[order], r1[order], n1[order], rest1[order]
+        k1, w1, rest1 = k1[order], w1[order], rest1[order]
         first, size = np.searchsorted(k0, k1), np.searchsorted(k0, k1, side="right")
         size -= first
         ends = np.cumsum(size)
@@ -179,7 +196,12 @@ def meetings(found: DataFrame, s: Settings, parts: int) -> DataFrame:
             pair = np.arange(low, min(low + MEETINGS, int(ends[-1])))
             j = np.searchsorted(ends, pair, side="right")
             i = first[j] + pair - (ends[j] - size[j])
-            enough = (np.minimum(rest0[i], rest1[j]) + (common - 1)) * (1 + threshold) >= threshold * (n0[i] + n1[j]) - 1e-9
+            rest, i, j = np.minimum(rest0[i], rest1[j]), w0[i], w1[j]
+            total = n0[i] + n1[j]
+            enough = (rest + (common - 1)) * (1 + threshold) >= threshold * total - 1e-9
+            i, j, total = i[enough], j[enough], total[enough]
+            apart = np.bitwise_count(x0[i] ^ x1[j]).astype(np.int64) + np.bitwise_count(y0[i] ^ y1[j])
+            enough = (total - apart) * (1 + threshold) >= 2 * threshold * total - 1e-9  # at most half of the rest is common
             i, j = i[enough], j[enough]
             order = np.lexsort((r1[j], r0[i]))
             i, j = i[order], j[order]

@@ -1,4 +1,5 @@
 import os
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -453,6 +454,12 @@ def test_pairs_come_from_suffixes_with_their_coverage(spark, monkeypatch):
     assert overlaps.cross_split(df, order_col=None)[0].count() == 0
 
 
+def test_weights_of_runs_travel_compressed(spark):
+    texts = corpus(31, 40)
+    docs = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "side int, _text string")
+    assert 0 < len(pickle.dumps(overlaps.run_weights(docs, nearcopies.Settings(), 22))) < 2**22 // 8
+
+
 # --- 6 ---
 
 
