@@ -85,75 +85,116 @@ class Tagger:
 
     # --- inference ---
 
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, rows, h) of symbols (steps, rows) in one direction."""
-        hidden, wh = self.h, self.p["wh" + d]
-        table = self.p["emb"] @ self.p["wx" + d] + self.p["b" + d]
-        if keep is None:  # half of the gates' sums, exactly
-            half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * hidden, hidden])
-            table, wh = table * half, wh * half
+    def _add(self, x: np.ndarray, d: str, e: np.ndarray) -> None:
+        """Adds one direction's part of the emissions to e (steps, tags, rows).
+
+        All gates are 1 / (1 + exp(-x)), with the sign in the weights, and tanh(x) = 2 / (1 + exp(-2 x)) - 1. Rows past the
+        last one that is not padded at a step are not computed.
+        """
+        hidden = self.h
+        sign = np.repeat(np.array([-1.0, -2.0], np.float32), [3 * hidden, hidden])
+        table = (self.p["emb"] @ self.p["wx" + d] + self.p["b" + d]) * sign
+        wh = self.p["wh" + d] * sign
+        wo = np.ascontiguousarray((self.p["wo"][:hidden] if d == "f" else self.p["wo"][hidden:]).T)
         steps, rows = x.shape
+        live, index = x != PAD, x.astype(np.intp)
+        used = np.where(live.any(1), rows - live[:, ::-1].argmax(1), 0).tolist()
+        whole = (live.sum(1) == used).tolist()
         h, c = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32)
-        out = np.empty((steps, rows, hidden), np.float32)
+        zs, sums, part = (np.empty((rows, n * hidden), np.float32) for n in (4, 4, 1))
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[t]]
-            z += h @ wh
-            if keep is None:
-                np.tanh(z, out=z)
-                gates = z[:, : 3 * hidden]
-                gates += 1
-                gates *= 0.5
-                c = z[:, hidden : 2 * hidden] * c + z[:, :hidden] * z[:, 3 * hidden :]
-                h = z[:, 2 * hidden : 3 * hidden] * np.tanh(c)
-            else:
-                i, f, o = (_sigmoid(z[:, k * hidden : (k + 1) * hidden]) for k in range(3))
-                g = np.tanh(z[:, 3 * hidden :])
-                before, last = c, h
-                c = f * c + i * g
-                tc = np.tanh(c)
-                h = o * tc
-                keep.append((t, i, f, o, g, before, tc, last))
-            live = (x[t] != PAD)[:, None]
-            h, c = h * live, c * live
-            out[t] = h
-        return out
+            n = used[t]
+            z, now, p, state = zs[:n], c[:n], part[:n], h[:n]
+            np.take(table, index[t, :n], axis=0, out=z, mode="clip")
+            z += np.matmul(state, wh, out=sums[:n])
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            now *= z[:, hidden : 2 * hidden]
+            np.multiply(z[:, 3 * hidden :], 2, out=p)
+            p -= 1
+            p *= z[:, :hidden]
+            now += p
+            np.multiply(z[:, 2 * hidden : 3 * hidden], np.tanh(now, out=p), out=state)
+            if not whole[t]:
+                state *= live[t, :n, None]
+                now *= live[t, :n, None]
+            h[n:] = c[n:] = 0
+            e[t, :, :n] += wo @ state.T
+
+    def _emitted(self, x: np.ndarray) -> np.ndarray:
+        """Emissions (steps, tags, rows), so that a maximum over tags runs along whole rows."""
+        e = np.empty((x.shape[0], N_TAGS, x.shape[1]), np.float32)
+        e[:] = self.p["bo"][:, None]
+        with np.errstate(over="ignore"):  # a gate is 0 there
+            for d in "fb":
+                self._add(x, d, e)
+        return e
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate((self._run(x, "f"), self._run(x, "b")), axis=2)
-        return both @ self.p["wo"] + self.p["bo"]
+        return self._emitted(x).transpose(0, 2, 1)
 
     def decode(self, x: np.ndarray, bias: float | np.ndarray = 0.0) -> np.ndarray:
         """Best tags (steps, rows); `bias`, one or one for each kind, is added to every first character of an item."""
-        e = self.emissions(x)
-        e[:, :, 1::2] += bias
-        e[x == PAD] = 0
-        e[x == PAD, 1:] = -1e4
+        e = self._emitted(x)
+        e[:, 1::2] += np.broadcast_to(np.asarray(bias, dtype=np.float32), len(KINDS))[:, None]
+        pad = x == PAD
+        if pad.any():
+            e *= ~pad[:, None]
+            e[:, 1:] -= np.float32(1e4) * pad[:, None]
         trans = (self.p["tr"] + allowed()).astype(np.float32)
         steps, rows = x.shape
         later = (np.arange(N_TAGS) > 0) & (np.arange(N_TAGS) % 2 == 0)
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # tags by rows, so that a maximum over tags runs along whole rows
         scores = np.empty((steps, N_TAGS, rows), dtype=np.float32)
         scores[0] = e[0] + np.where(later, np.float32(-1e4), np.float32(0))[:, None]
         free = np.flatnonzero(~later).tolist()  # outside and first characters may follow any tag, later ones only their own kind
         first, inner = np.arange(1, N_TAGS, 2), np.arange(2, N_TAGS, 2)
         begin, stay = trans[first, inner][:, None], trans[inner, inner][:, None]
         room = np.empty((N_TAGS, rows), dtype=np.float32)
+        outside = np.ones(rows, dtype=bool)
         for t in range(1, steps):
             before, now = scores[t - 1], scores[t]
             for k in free:
                 np.add(before, trans[:, k, None], out=room)
                 np.max(room, axis=0, out=now[k])
+                if not k:  # before an outside the first tag, outside, is best
+                    outside &= room[0] == now[0]
             now[inner] = np.maximum(before[first] + begin, before[inner] + stay)
             now += e[t]
         tags = np.zeros((steps, rows), dtype=np.int8)
         tags[-1] = scores[-1].argmax(axis=0)
         into = np.ascontiguousarray(trans.T)
+        some = np.flatnonzero(~outside | (tags[-1] > 0))  # the others are outside all through
+        at = tags[-1, some]
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (scores[t - 1].T + into[tags[t]]).argmax(axis=1)
+            at = (scores[t - 1][:, some].T + into[at]).argmax(axis=1)
+            tags[t - 1, some] = at
         return tags
 
     # --- training ---
 
+    def _run(self, x: np.ndarray, d: str, keep: list) -> np.ndarray:
+        """Hidden states (steps, rows, h) of symbols (steps, rows) in one direction."""
+        hidden, wh = self.h, self.p["wh" + d]
+        table = self.p["emb"] @ self.p["wx" + d] + self.p["b" + d]
+        steps, rows = x.shape
+        h, c = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32)
+        out = np.empty((steps, rows, hidden), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            z = table[x[t]]
+            z += h @ wh
+            i, f, o = (_sigmoid(z[:, k * hidden : (k + 1) * hidden]) for k in range(3))
+            g = np.tanh(z[:, 3 * hidden :])
+            before, last = c, h
+            c = f * c + i * g
+            tc = np.tanh(c)
+            h = o * tc
+            keep.append((t, i, f, o, g, before, tc, last))
+            live = (x[t] != PAD)[:, None]
+            h, c = h * live, c * live
+            out[t] = h
+        return out
+
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of a padded batch (steps, rows) and its gradients."""
         p, hidden = self.p, self.h

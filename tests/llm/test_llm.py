@@ -293,6 +293,51 @@ def test_tagger_reads_every_character():
     assert read == set(range(2049)) - {0, 300, 301, 1999}
 
 
+def test_windows_that_no_check_passes_are_not_run(monkeypatch):
+    """Text without a possible item costs no window; a passport number in it those around it, with the same spans."""
+    filler = "the boats lay still and nobody came to the quay that day. " * 60
+    texts = [filler, filler + "their passport number is X123456 and they left. " + filler]
+    read, decode = [], pii.Tagger.decode
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, x, bias=0.0: read.append(x.shape[1]) or decode(self, x, bias))
+    spans = pii.find_spans(texts)
+    assert sum(read) <= 4 and [k for _, _, k in spans[1]] == ["id_number"] and spans[0] == []
+    assert pii.find_spans(texts, everything=True) == spans and sum(read) > 100
+    assert pii.find_spans([]) == [] and pii.find_spans(["", None]) == [[], []]
+
+
+def test_windows_not_run_hold_nothing_whatever_the_tags(monkeypatch):
+    """With tags at random in place of the tagger's, over odd texts, the checks pass the same spans as over all windows."""
+    pieces = (
+        "Anna;Bo;li;O'Neil;L'Anna;anna-Maria;Ｌｉ;Ａnna;张Anna;Müller;Mu\u0308ller;ﬁn;Ⓐnna;M.;J.;_.;Dr;the;lake;Signed,;Paraŀlel;½;①;Ⅻ;〇〇;12;1788;912-34-5678;+44 20 7946 0123;(030) 1234567;10.20.30.40;⒈⒉⒊4;"
+        "１２３４５６７;555 1234, 555 9876;ext. 12;a@b.co;foo (at) bar (dot) com;foo at bar dot com;½at b.com;SSN;NIE;NI_;tax;税号;Führerschein;ıdentıty;id no;X123456;1 2 3 4 5 6;12 Mill Lane;flat 3, 12 Mill Lane;"
+        "5 rue de la Paix;calle Mayor nº 5;c/ Sol 3;Hauptstraße 5;am Alten Markt 5;an der Weide 12;Auf dem Großen Hohen Berg 3;12 old road;ſtr. 5;" + "x" * 170
+    ).split(";")
+    gaps = [" "] * 8 + ["\u00a0", ", ", ". ", "\n", "\t", "; ", "|", "-", "'", "", "_", "  ", "\u0301", "…", "("]
+    rnd, tags = random.Random(5), None
+
+    def fake(points, start, end, bias, out, chosen):
+        for a, b in zip(*(x[chosen].tolist() for x in pii.own(start, end))):
+            out[a:b] = tags[a:b]
+
+    monkeypatch.setattr(pii, "tag", fake)
+    passed = 0
+    for _ in range(60):
+        texts = ["".join(rnd.choice(pieces) + rnd.choice(gaps) for _ in range(rnd.randint(0, 60))) for _ in range(20)]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        tags, at, dense = np.zeros(bounds[-1] + 1, np.int8), 0, rnd.choice([3, 20, 80])
+        while at < bounds[-1]:
+            at += rnd.randint(0, dense)
+            n, k = rnd.randint(1, rnd.choice([2, 12, 40, 150])), rnd.randrange(len(KINDS))
+            tags[at : at + n] = 2 + 2 * k
+            tags[at : at + 1] -= rnd.random() < 0.95
+            at += n
+        tags[bounds[1:] - 1] = 0
+        spans = pii.find_spans(texts, everything=True)
+        assert pii.find_spans(texts) == spans
+        passed += sum(map(len, spans))
+    assert passed > 500
+
+
 def test_windows_agree_over_long_texts():
     maker = Maker(8)
     text = " ".join(maker.window(400)[0] for _ in range(30))
