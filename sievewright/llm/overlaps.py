@@ -35,6 +35,8 @@ MAX_BITS = 26
 CHUNK_BITS = 16
 #: Runs of one partition of suffixes, pairs expanded at once, and entries gathered before they are counted.
 PART_RUNS, MEETINGS, GATHERED = 2_000_000, 1 << 21, 1 << 22
+#: Words of 64 bits of a record's marks at most; records of up to 90 runs have 2, of up to 200 runs 4. More refuse more pairs early.
+MARK_WORDS, MARK_RUNS = 8, ((90, 2), (200, 4))
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,43 @@ def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
 
 
+def mark_words(n: np.ndarray) -> np.ndarray:
+    """Words of the marks of records with n runs."""
+    words = np.full(len(n), MARK_WORDS, np.int64)
+    for most, fewer in reversed(MARK_RUNS):
+        words[n <= most] = fewer
+    return words
+
+
+def run_marks(runs: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By record, the bits that an odd number of its distinct runs falls on, in mark_words(n) words; the others are 0."""
+    odd = np.zeros((len(n), 64 * MARK_WORDS), np.uint8)
+    np.bitwise_xor.at(odd.ravel(), doc * odd.shape[1] + (mix64(runs) & np.uint64(odd.shape[1] - 1)).astype(np.int64), 1)
+    marks = np.packbits(odd, axis=1, bitorder="little").view("<u8")
+    words = mark_words(n)
+    for few in sorted({w for _, w in MARK_RUNS}):
+        marks[words == few, :few] = folded(marks[words == few], few)
+        marks[words == few, few:] = 0
+    return marks
+
+
+def folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Marks as if they had been made with so many words; those with fewer stay."""
+    return np.bitwise_xor.reduce(marks.reshape(len(marks), marks.shape[1] // words, words), axis=1)
+
+
+def marks_apart(marks0: np.ndarray, words0: np.ndarray, marks1: np.ndarray, words1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the marks of the records i and j differ, in the words that both have: no more than in runs."""
+    apart = np.zeros(len(i), np.int64)
+    words = np.minimum(words0[i], words1[j])
+    for few in np.unique(words).tolist():
+        at = np.flatnonzero(words == few)
+        left, right = folded(marks0, few), folded(marks1, few)
+        for w in range(few):
+            apart[at] += np.bitwise_count(left[i[at], w] ^ right[j[at], w])
+    return apart
+
+
 def run_weights(docs: DataFrame, s: Settings, bits: int) -> dict[int, bytes]:
     """By cell, the first `bits` bits of a run, in compressed chunks: 0 if the runs in it occur on one side only, else 1 + the bits of the mean of
     how often they occur on both. Counted over all records; each task sends its distinct cells once."""
@@ -106,7 +145,7 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
     the places of these bound how many more they can share. Runs that occur on one side only come first and are counted,
     not sent. A start whose cell is frequent on both sides goes to a row or column of a grid, and meets each record of
     the other side in one of its fields. A block has the sorted keys, how many runs from each on could be shared, and once
-    for each of its records how many runs it has and which of 128 bits an odd number of them falls on. Two sets
+    for each of its records how many runs it has and which bits an odd number of them falls on (run_marks). Two sets
     differ in at least as many runs as these bits differ in.
     """
     shared = docs.sparkSession.sparkContext.broadcast(run_weights(docs, s, bits))
@@ -133,8 +172,7 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
             new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
             runs, doc, kinds = runs[new], doc[new], kinds[new]
             n = np.bincount(doc, minlength=high - low)
-            odd = (np.bincount(doc * 128 + (mix64(runs) & np.uint64(127)).astype(np.int64), minlength=(high - low) * 128) & 1).astype(np.uint8)
-            marks = np.packbits(odd).view("<u8").reshape(-1, 2)
+            marks = run_marks(runs, doc, n)
             place = np.arange(len(runs)) - (np.cumsum(n) - n)[doc]
             least = np.ceil(n * threshold - 1e-9).astype(np.int64)  # less a little, as 0.6 * n may be rounded up past its integer
             keep = (kinds > 0) & (place < (n - least + common)[doc])
@@ -158,7 +196,7 @@ def suffixes(docs: DataFrame, s: Settings, bits: int, parts: int) -> DataFrame:
         for a, b in zip(starts, [*starts[1:], len(each)]):
             _, once, which = np.unique(record[e := each[a:b]], return_index=True, return_inverse=True)
             own = e[once]
-            parted = packed(np.diff(keys[a:b], prepend=np.uint64(0)), which, rest[e]), packed(record[own], n[own], marks[own, 0], marks[own, 1])
+            parted = packed(np.diff(keys[a:b], prepend=np.uint64(0)), which, rest[e]), packed(record[own], n[own], *marks[own].T)
             blobs.append(len(parted[0]).to_bytes(4, "little") + parted[0] + parted[1])
         yield {"part": part[starts].astype(np.int32), "side": (group[starts] % 2).astype(np.int32), "suffixes": pa.array(blobs, pa.binary())}
 
@@ -177,14 +215,16 @@ def meetings(found: DataFrame, s: Settings, parts: int) -> DataFrame:
             for side, blob in zip(column(batch, "side"), column(batch, "suffixes")):
                 size = 4 + int.from_bytes(blob[:4], "little")
                 step, which, rest = unpacked(blob[4:size], 3)
-                named[side].append(unpacked(blob[size:], 4))
+                named[side].append(unpacked(blob[size:], 2 + MARK_WORDS))
                 blocks[side].append((np.cumsum(step), which.astype(np.int64) + seen[side], rest.astype(np.int32)))
                 seen[side] += len(named[side][-1][0])
         if not all(blocks):
             return
         (k0, w0, rest0), (k1, w1, rest1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in blocks)
-        (r0, n0, x0, y0), (r1, n1, x1, y1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in named)
+        (r0, n0, *marks0), (r1, n1, *marks1) = (tuple(np.concatenate(x) for x in zip(*b)) for b in named)
+        marks0, marks1 = np.stack(marks0, axis=1), np.stack(marks1, axis=1)
         r0, r1, n0, n1 = (x.astype(np.int64) for x in (r0, r1, n0, n1))
+        words0, words1 = mark_words(n0), mark_words(n1)
         order = np.argsort(k0, kind="stable")
         k0, w0, rest0 = k0[order], w0[order], rest0[order]
         order = np.argsort(k1, kind="stable")
@@ -200,7 +240,7 @@ def meetings(found: DataFrame, s: Settings, parts: int) -> DataFrame:
             total = n0[i] + n1[j]
             enough = (rest + (common - 1)) * (1 + threshold) >= threshold * total - 1e-9
             i, j, total = i[enough], j[enough], total[enough]
-            apart = np.bitwise_count(x0[i] ^ x1[j]).astype(np.int64) + np.bitwise_count(y0[i] ^ y1[j])
+            apart = marks_apart(marks0, words0, marks1, words1, i, j)
             enough = (total - apart) * (1 + threshold) >= 2 * threshold * total - 1e-9  # at most half of the rest is common
             i, j = i[enough], j[enough]
             order = np.lexsort((r1[j], r0[i]))

@@ -425,6 +425,21 @@ def test_cross_split_of_one_story_with_edits(spark, monkeypatch):
     assert len(want) == 25 and got == want
 
 
+def test_marks_bound_the_difference_and_refuse_strangers():
+    rnd = np.random.default_rng(3)
+    for n in (1, 40, 90, 91, 118, 200, 201, 400):
+        pool = rnd.integers(0, 2**63, 2 * n * 30, dtype=np.uint64)
+        sets = [pool[: n - k] if k < n else pool[:0] for k in (0, 1, n // 3)] + [pool[n * i : n * i + n + (i % 3) * (n // 5)] for i in range(1, 25)]
+        sizes = np.array([len(x) for x in sets])
+        marks, words = overlaps.run_marks(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes), overlaps.mark_words(sizes)
+        i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+        apart = overlaps.marks_apart(marks, words, marks, words, i, j)
+        assert all(a <= len(np.setxor1d(sets[x], sets[y])) for a, x, y in zip(apart, i, j))
+        strangers = (i > 2) & (j > i + 2)
+        if 40 <= n <= 201:  # at similarity 0.6 at most a quarter of all runs differ; marks of longer records fill up
+            assert (apart[strangers] > 0.25 * (sizes[i] + sizes[j])[strangers]).mean() > 0.9
+
+
 def test_recall_by_length(spark):
     """Random pairs at similarity 0.6 or more, one edit and several, by length; near copies and overlaps of splits."""
     rnd, rows, sizes = random.Random(1), [], [20, 22, 24, 28, 34, 45, 60, 100]
